@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from oracles import ORACLES
@@ -11,7 +12,7 @@ from retentia import schema as S
 from retentia.functions.advice import recommendations
 from retentia.functions.bands import risk_band, threshold_class
 from retentia.operators import sampling, spine
-from retentia.operators.clean import clean_customers
+from retentia.operators.clean import clean_customers, coerce_numeric
 from retentia.operators.split import stratified_split
 from retentia.plans import catalog, eda, evaluate, explain, features, kpi, reports, score, train
 from retentia.sources import files, orders, requests
@@ -25,19 +26,31 @@ FEATURES = features.FeatureSet(
 ROUNDS = 20
 
 
-def _customers(spark, sf, payment=False):
-    return orders.customers(orders.load(spark, sf), payment)
+BASIC = ("customerID", "tenure", "Contract", "MonthlyCharges", "Churn")
+SERVICE = (*BASIC, "InternetService")
+PAYMENT = (*BASIC, "PaymentMethod")
 
 
-def _tables(spark, sf):
+def _customers(spark, sf, columns=BASIC):
+    return orders.customers(orders.load(spark, sf), columns)
+
+
+def _all_customers(spark, sf):
+    return _customers(spark, sf, orders.CUSTOMER_COLUMNS)
+
+
+def _sources(spark, sf):
+    """Raw customers, transactions, support tickets."""
     source = orders.load(spark, sf)
-    return files.ingest(
-        orders.raw_customers(source), orders.transactions(source), orders.support_tickets(source)
-    )
+    return orders.raw_customers(source), orders.transactions(source), orders.support_tickets(source)
+
+
+def _tables(spark, sf):
+    return files.derive_tables(*_sources(spark, sf))
 
 
-def _on_customers(report, payment=False, **options):
-    return lambda spark, sf: report(_customers(spark, sf, payment), **options)
+def _on_customers(report, columns=BASIC, **options):
+    return lambda spark, sf: report(_customers(spark, sf, columns), **options)
 
 
 # -- sources and generation --------------------------------------------------
@@ -52,23 +65,22 @@ def csv_ingest(spark, sf):
 def table_roundtrip(spark, sf):
     """All tables written and read back, then rows counted."""
     folder = new_folder(spark, "tables")
-    files.write_tables(_tables(spark, sf), folder)
-    return files.row_count_report(files.read_tables(spark, folder))
+    return files.row_count_report(files.build_tables(*_sources(spark, sf), folder))
 
 
 def spine_fill(spark, sf):
     source = orders.load(spark, sf)
-    people = orders.customers(source, payment=False).select("customerID", "tenure")
+    people = orders.customers(source, ("customerID", "tenure"))
     return spine.spine_fill(people, orders.monthly_payments(source))
 
 
 def score_requests(spark, sf):
     """Customers read as requests: what they lack is filled with the defaults."""
-    people = orders.raw_customers(orders.load(spark, sf), payment=False)
-    asked = people.select(
-        "customerID", "SeniorCitizen", "tenure", "Contract", "MonthlyCharges",
-        F.expr("try_cast(nullif(trim(TotalCharges), '') as double)").alias("TotalCharges"),
+    people = orders.raw_customers(
+        orders.load(spark, sf),
+        ("customerID", "SeniorCitizen", "tenure", "Contract", "MonthlyCharges", "TotalCharges"),
     )
+    asked = people.withColumn("TotalCharges", coerce_numeric(F.col("TotalCharges")))
     return requests.score_requests(asked, total_from_tenure=True)
 
 
@@ -77,19 +89,19 @@ def score_requests(spark, sf):
 def tickets_vs_churn(spark, sf):
     source = orders.load(spark, sf)
     return reports.tickets_vs_churn(
-        orders.customers(source, payment=False), orders.support_tickets(source)
+        orders.customers(source, BASIC), orders.support_tickets(source)
     )
 
 
 def transactions_by_churn(spark, sf):
     source = orders.load(spark, sf)
     return reports.transactions_by_churn(
-        orders.customers(source, payment=False), orders.payments(source)
+        orders.customers(source, BASIC), orders.payments(source)
     )
 
 
 def segment_report(spark, sf):
-    return reports.segment_report(reports.segment_summary(_customers(spark, sf)))
+    return reports.segment_report(reports.segment_summary(_customers(spark, sf, SERVICE)))
 
 
 def adhoc_sql(spark, sf):
@@ -127,17 +139,17 @@ def _on_scores(report, **options):
 
 
 def label_encode(spark, sf):
-    people = _customers(spark, sf, payment=True)
+    people = _all_customers(spark, sf)
     names = orders.TRAINING_CATEGORIES
     coded = features.encode(people, features.fit_encoder(people, names), names)
     return coded.select("customerID", *names)
 
 
 def standardise(spark, sf):
-    people = _customers(spark, sf)
     columns = ["SeniorCitizen", "tenure", "MonthlyCharges", "TotalCharges"]
+    people = stage(_customers(spark, sf, ["customerID", *columns]), "people")
     scaled = features.fit_scaler(people, columns).transform(people)
-    values = train.vector_to_array("features")
+    values = vector_to_array("features")
     return scaled.select(
         "customerID", *[F.round(values[i], 6).alias(c) for i, c in enumerate(columns)]
     )
@@ -161,7 +173,7 @@ def advice(spark, sf):
     def named(column, value, name):
         return F.when(F.col(column) == value, name).otherwise(F.col(column))
 
-    people = _customers(spark, sf, payment=True).withColumns({
+    people = _all_customers(spark, sf).withColumns({
         "Contract": named("Contract", "BUILDING", "Month-to-month"),
         "InternetService": named("InternetService", "EUROPE", "Fiber optic"),
         "PaymentMethod": named("PaymentMethod", "1-URGENT", "Electronic check"),
@@ -179,7 +191,8 @@ def _fitted(spark, sf):
     """Model and hold-out, fitted once per session and folder."""
     at = (spark.sparkContext.applicationId, sf)
     if at not in _fits:
-        split = stage(stratified_split(orders.training(orders.load(spark, sf))), "split")
+        rows = stage(orders.training(orders.load(spark, sf)), "training")
+        split = stage(stratified_split(rows), "split")
         model = train.fit_model(
             split.where("is_test = 0"), FEATURES, train.BoosterSettings(rounds=ROUNDS)
         )
@@ -253,13 +266,13 @@ def entry(spark: SparkSession) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
-        "customers": lambda s, sf: _customers(s, sf, payment=True),
+        "customers": _all_customers,
         "clean_customers": lambda s, sf: clean_customers(
             orders.raw_customers(orders.load(s, sf))
         ).select("customerID", "TotalCharges", "Churn", "SeniorCitizen"),
         "transactions": lambda s, sf: orders.transactions(orders.load(s, sf)),
         "support_tickets": lambda s, sf: orders.support_tickets(orders.load(s, sf)),
-        "segment_summary": _on_customers(reports.segment_summary),
+        "segment_summary": _on_customers(reports.segment_summary, SERVICE),
         "training": lambda s, sf: orders.training(orders.load(s, sf)),
         "csv_ingest": csv_ingest,
         "table_roundtrip": table_roundtrip,
@@ -271,11 +284,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "spine_fill": spine_fill,
         "churn_rate_overall": _on_customers(reports.churn_rate_overall),
         "churn_by_contract": _on_customers(reports.churn_by_contract),
-        "revenue_at_risk_by_service": _on_customers(reports.revenue_at_risk_by_service),
-        "top_risk_customers": _on_customers(reports.top_risk_customers),
-        "churn_by_payment": _on_customers(reports.churn_by_payment, payment=True),
+        "revenue_at_risk_by_service": _on_customers(reports.revenue_at_risk_by_service, SERVICE),
+        "top_risk_customers": _on_customers(reports.top_risk_customers, (*SERVICE, "TotalCharges")),
+        "churn_by_payment": _on_customers(reports.churn_by_payment, PAYMENT),
         "tenure_cohorts": _on_customers(reports.tenure_cohorts),
-        "senior_segments": _on_customers(reports.senior_segments),
+        "senior_segments": _on_customers(reports.senior_segments, (*BASIC, "SeniorCitizen")),
         "tickets_vs_churn": tickets_vs_churn,
         "segment_report": segment_report,
         "transactions_by_churn": transactions_by_churn,
@@ -285,14 +298,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "kpi_record": kpi_record,
         "kpi_text": _on_customers(kpi.kpi_text),
         "contract_rate_raw": _on_customers(eda.contract_rate_raw),
-        "rate_by_service": _on_customers(eda.mean_rate, key="InternetService"),
-        "rate_by_payment": _on_customers(eda.mean_rate_rounded, payment=True, key="PaymentMethod"),
-        "share_of_total": _on_customers(eda.share_of_total),
+        "rate_by_service": _on_customers(eda.mean_rate, SERVICE, key="InternetService"),
+        "rate_by_payment": _on_customers(eda.mean_rate_rounded, PAYMENT, key="PaymentMethod"),
+        "share_of_total": _on_customers(eda.share_of_total, SERVICE),
         "histogram_by_class": _on_customers(eda.histogram_by_class),
         "sample_fixed": _on_customers(eda.charges_scatter),
-        "preview": _on_customers(sampling.preview, payment=True),
+        "preview": lambda s, sf: sampling.preview(_all_customers(s, sf)),
         "stratified_split": lambda s, sf: stratified_split(
-            _customers(s, sf).select("customerID", "Churn")
+            stage(_customers(s, sf, ("customerID", "Churn")), "people")
         ),
         "label_encode": label_encode,
         "standardise": standardise,
@@ -302,7 +315,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "roc_curve": _on_scores(evaluate.roc_curve),
         "roc_curve_corners": _on_scores(evaluate.roc_curve, drop_collinear=True),
         "roc_auc": _on_scores(evaluate.roc_auc),
-        "evaluate_report": _on_scores(lambda scores: evaluate.evaluate_report(stage(scores, "scores"))),
+        "evaluate_report": lambda s, sf: evaluate.evaluate_report(stage(_rule_scores(s, sf), "scores")),
         "log_loss": lambda s, sf: evaluate.log_loss(_rule_scores(s, sf)).select(
             F.round("log_loss", 8).alias("log_loss")
         ),

@@ -18,7 +18,7 @@ def stratified_split(
     cut falls into is found on those counts (at most 65,536 per class), and only
     the rows of that one prefix are ranked.  The cut is then one value per class,
     and marking the rows needs no shuffle.  Rows whose label is not 0 or 1 stay
-    unmarked (null).
+    unmarked (null).  `df` is read three times: pass a table or a staged frame.
     """
     digest = hash_key(seed, key)
     rank_by = F.struct(digest.alias("h"), F.col(key).alias("k"))

@@ -23,8 +23,8 @@ def csv_scan(spark: SparkSession, path: str, schema=S.RAW_CUSTOMERS) -> DataFram
     )
 
 
-def ingest(raw: DataFrame, transactions: DataFrame, tickets: DataFrame) -> dict:
-    """The four tables from raw customers and the two fact sources."""
+def derive_tables(raw: DataFrame, transactions: DataFrame, tickets: DataFrame) -> dict:
+    """The four tables from raw customers and the two fact sources, not stored."""
     customers = clean_customers(raw)
     return {
         "customers": customers,
@@ -34,6 +34,24 @@ def ingest(raw: DataFrame, transactions: DataFrame, tickets: DataFrame) -> dict:
     }
 
 
+def build_tables(
+    raw: DataFrame, transactions: DataFrame, tickets: DataFrame, path: str
+) -> dict:
+    """Clean, store and read back the four tables.
+
+    The segment summary is taken from the stored customers, so the raw records
+    are read once.
+    """
+    spark = raw.sparkSession
+    write_tables(
+        {"customers": clean_customers(raw), "transactions": transactions,
+         "support_tickets": tickets}, path,
+    )
+    customers = read_tables(spark, path, ["customers"])["customers"]
+    write_tables({"segment_summary": segment_summary(customers)}, path)
+    return read_tables(spark, path)
+
+
 def write_tables(tables: dict, path: str) -> None:
     """Replace the tables under `path` with Parquet laid out for their filters.
 

@@ -74,19 +74,19 @@ def order_profile(orders: DataFrame, payment: bool, used=None) -> DataFrame:
     )
 
 
-def _attributes(source: dict) -> DataFrame:
-    """customerID, Contract, InternetService, SeniorCitizen of every customer."""
-    nation, region = source["nation"], source["region"]
-    place = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).select(
-        "n_nationkey", F.col("r_name").alias("InternetService")
-    )
-    return source["customer"].join(
-        place, F.col("c_nationkey") == F.col("n_nationkey"), "left"
-    ).select(
+def _attributes(source: dict, service: bool = True) -> DataFrame:
+    """customerID, Contract, SeniorCitizen and, if wanted, InternetService."""
+    people = source["customer"]
+    if service:
+        place = source["nation"].join(
+            source["region"], F.col("n_regionkey") == F.col("r_regionkey")
+        ).select("n_nationkey", F.col("r_name").alias("InternetService"))
+        people = people.join(place, F.col("c_nationkey") == F.col("n_nationkey"), "left")
+    return people.select(
         F.col("c_custkey").alias("customerID"),
         F.col("c_mktsegment").alias("Contract"),
-        "InternetService",
         (F.col("c_acctbal") < 0).cast("int").alias("SeniorCitizen"),
+        *(["InternetService"] if service else []),
     )
 
 
@@ -94,30 +94,38 @@ def _monthly_charges(total, tenure):
     return rounded_ratio(total, F.greatest(tenure, F.lit(1)))
 
 
-def raw_customers(source: dict, payment: bool = True, as_of=None) -> DataFrame:
+CUSTOMER_COLUMNS = (
+    "customerID", "SeniorCitizen", "tenure", "InternetService", "Contract",
+    "PaymentMethod", "MonthlyCharges", "TotalCharges", "Churn",
+)
+
+
+def raw_customers(source: dict, columns=CUSTOMER_COLUMNS, as_of=None) -> DataFrame:
     """Customers as they arrive: TotalCharges and Churn are text.
 
-    Customers without orders stay, with a blank TotalCharges.  Pass
-    `payment=False` where PaymentMethod is not needed.
+    Customers without orders stay, with a blank TotalCharges.  Name the columns
+    that are needed: Spark prunes scans by itself, but not the lookup of the
+    service or the counts behind the payment method.
     """
-    profile = order_profile(source["orders"], payment)
+    profile = order_profile(source["orders"], "PaymentMethod" in columns)
     tenure = F.coalesce(_months_between(F.col("first"), F.col("last")), F.lit(0))
     lost = F.coalesce(F.col("last") < churn_cut(source["orders"], as_of), F.lit(True))
-    joined = _attributes(source).join(
+    total = F.coalesce("total", F.lit(0).cast(CENTS))
+    joined = _attributes(source, "InternetService" in columns).join(
         profile, F.col("customerID") == F.col("o_custkey"), "left"
     ).withColumn("tenure", tenure)
-    return joined.select(
-        "customerID", "SeniorCitizen", "tenure", "InternetService", "Contract",
-        *(["PaymentMethod"] if payment else []),
-        _monthly_charges(F.coalesce("total", F.lit(0).cast(CENTS)), F.col("tenure"))
-        .alias("MonthlyCharges"),
-        F.coalesce(F.col("total").cast("string"), F.lit(" ")).alias("TotalCharges"),
-        F.when(lost, "Yes").otherwise("No").alias("Churn"),
-    )
-
-
-def customers(source: dict, payment: bool = True, as_of=None) -> DataFrame:
-    return clean_customers(raw_customers(source, payment, as_of))
+    derived = {
+        "MonthlyCharges": _monthly_charges(total, F.col("tenure")),
+        "TotalCharges": F.coalesce(F.col("total").cast("string"), F.lit(" ")),
+        "Churn": F.when(lost, "Yes").otherwise("No"),
+    }
+    return joined.select(*[derived[c].alias(c) if c in derived else c for c in columns])
+
+
+def customers(source: dict, columns=CUSTOMER_COLUMNS, as_of=None) -> DataFrame:
+    """Cleaned customers with the named columns."""
+    needed = [*columns] + [c for c in ("TotalCharges",) if c not in columns]
+    return clean_customers(raw_customers(source, needed, as_of)).select(*columns)
 
 
 def payments(source: dict) -> DataFrame:
