@@ -4,48 +4,46 @@ Double sums change in the last digit with the order rows arrive in, which after
 a retry or on another cluster size can move a rounded figure by 0.01.  Money is
 therefore added up as decimal, and ratios are rounded in whole numbers: halves
 go away from zero, at the exact tie.
-"""
 
-from pyspark.sql import Column, functions as F, types as T
+Arguments are SQL expressions, aggregates included.
+"""
 
-MONEY = T.DecimalType(24, 6)
+from pyspark.sql import Column, functions as F
 
 
-def money(col) -> Column:
-    """An amount as a decimal; NaN and infinities become null."""
-    col = F.col(col) if isinstance(col, str) else col
-    return col.try_cast(MONEY)
+def money(amount: str) -> str:
+    """SQL of an amount as a decimal; NaN and infinities become null."""
+    return f"try_cast({amount} AS decimal(24,6))"
 
 
-def rounded_ratio(num: Column, den: Column, places: int = 2) -> Column:
+def rounded_ratio(num: str, den: str, places: int = 2) -> Column:
     """num / den to `places` decimals as a double; null where den is 0 or null.
 
-    Both sides must be whole numbers or decimals.
+    Both must be whole numbers or decimals.
     """
-    scale = 10**places
-    den = F.nullif(den, F.lit(0))
-    units = F.call_function("div", F.abs(num) * F.lit(2 * scale) + den, den * F.lit(2))
-    return F.when(num < 0, -units).otherwise(units) / F.lit(float(scale))
+    scale, den = 10**places, f"nullif({den}, 0)"
+    half_up = f"(abs({num}) * {2 * scale} + {den}) div ({den} * 2)"
+    return F.expr(f"if({num} < 0, -1, 1) * ({half_up}) / {scale}.0D")
 
 
-def percent(part: Column, whole: Column) -> Column:
+def percent(part: str, whole: str) -> Column:
     """part as a percentage of whole, two decimals."""
-    return rounded_ratio(part * F.lit(100), whole)
+    return rounded_ratio(f"(({part}) * 100)", whole)
 
 
-def share(part: Column, whole: Column) -> Column:
+def share(part: str, whole: str) -> Column:
     """part / whole as a plain double, null for an empty whole."""
-    return F.try_divide(part.cast("double"), whole.cast("double"))
+    return F.expr(f"try_divide(CAST({part} AS double), CAST({whole} AS double))")
 
 
-def money_sum(col) -> Column:
-    return F.round(F.sum(money(col)), 2).cast("double")
+def money_sum(amount: str) -> Column:
+    return F.expr(f"CAST(round(sum({money(amount)}), 2) AS double)")
 
 
-def money_avg(col) -> Column:
-    return rounded_ratio(F.sum(money(col)), F.count(money(col)))
+def money_avg(amount: str) -> Column:
+    return rounded_ratio(f"sum({money(amount)})", f"count({money(amount)})")
 
 
-def whole_avg(col) -> Column:
+def whole_avg(value: str) -> Column:
     """Average of a whole-number column, two decimals."""
-    return rounded_ratio(F.sum(col), F.count(col))
+    return rounded_ratio(f"sum({value})", f"count({value})")

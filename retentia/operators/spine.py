@@ -37,5 +37,5 @@ def spine_fill(customers: DataFrame, monthly: DataFrame) -> DataFrame:
 def monthly_amounts(transactions: DataFrame) -> DataFrame:
     """Sum of amounts per customer and month."""
     return transactions.groupBy("customerID", "month_num").agg(
-        F.sum(money("amount")).cast("double").alias("amount")
+        F.expr(f"CAST(sum({money('amount')}) AS double)").alias("amount")
     )

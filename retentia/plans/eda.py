@@ -15,7 +15,7 @@ def contract_rate_raw(customers: DataFrame) -> DataFrame:
     return (
         customers.where("Contract is not null").groupBy("Contract")
         .agg(F.sum("Churn").alias("sum"), F.count("Churn").alias("count"))
-        .withColumn("churn_pct", share(F.col("sum"), F.col("count")) * 100.0)
+        .withColumn("churn_pct", share("`sum`", "`count`") * 100.0)
     )
 
 
@@ -23,14 +23,14 @@ def mean_rate(customers: DataFrame, key: str) -> DataFrame:
     """Unrounded churn rate in percent per value of `key`."""
     return (
         customers.where(F.col(key).isNotNull()).groupBy(key)
-        .agg((share(F.sum("Churn"), F.count("Churn")) * 100.0).alias("churn_pct"))
+        .agg((share("sum(Churn)", "count(Churn)") * 100.0).alias("churn_pct"))
     )
 
 
 def mean_rate_rounded(customers: DataFrame, key: str) -> DataFrame:
     return (
         customers.where(F.col(key).isNotNull()).groupBy(key)
-        .agg(percent(F.sum("Churn"), F.count("Churn")).alias("churn_pct"))
+        .agg(percent("sum(Churn)", "count(Churn)").alias("churn_pct"))
     )
 
 

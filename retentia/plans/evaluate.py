@@ -10,72 +10,56 @@ from retentia import schema as S
 from retentia.functions.exact import share
 from retentia.operators.running import CUTS, running_counts
 
-BIG = "decimal(38,0)"
 
-
-def _cells():
-    """Counts of the four label/prediction pairs, as aggregate columns."""
-    return {
-        (a, p): F.count_if((F.col("label") == a) & (F.col("pred") == p))
-        for a in (0, 1) for p in (0, 1)
-    }
+CELLS = {
+    (a, p): f"count_if(label = {a} AND pred = {p})" for a in (0, 1) for p in (0, 1)
+}
 
 
 def accuracy(scores: DataFrame) -> DataFrame:
-    hit = F.col("label") == F.col("pred")
-    return scores.agg(share(F.count_if(hit), F.count(hit)).alias("accuracy"))
+    return scores.agg(share("count_if(label = pred)", "count(label = pred)").alias("accuracy"))
 
 
 def confusion_matrix(scores: DataFrame) -> DataFrame:
     """Four rows (actual, predicted, n); empty cells are 0."""
-    cells = [
-        F.struct(F.lit(a).alias("actual"), F.lit(p).alias("predicted"), n.alias("n"))
-        for (a, p), n in _cells().items()
-    ]
-    return scores.agg(F.array(*cells).alias("cells")).select(F.inline("cells"))
-
-
-def _ratio(num, den):
-    """num / den, 0 for an empty denominator."""
-    return F.coalesce(share(num, den), F.lit(0.0))
+    cells = ", ".join(
+        f"named_struct('actual', {a}, 'predicted', {p}, 'n', {n})" for (a, p), n in CELLS.items()
+    )
+    return scores.agg(F.expr(f"array({cells})").alias("cells")).select(F.inline("cells"))
 
 
 def classification_report(scores: DataFrame) -> DataFrame:
-    """Precision, recall, F1 and support per class, with accuracy and averages."""
-    cells = _cells()
-    counts = scores.agg(*[n.alias(f"n{a}{p}") for (a, p), n in cells.items()])
-
-    def quality(c):
-        other = 1 - c
-        true, support = F.col(f"n{c}{c}"), F.col(f"n{c}{c}") + F.col(f"n{c}{other}")
-        precision = _ratio(true, true + F.col(f"n{other}{c}"))
-        recall = _ratio(true, support)
-        f1 = _ratio(2.0 * precision * recall, precision + recall)
-        return precision, recall, f1, support
-
-    kept, lost = quality(0), quality(1)
-    total = kept[3] + lost[3]
-    right = _ratio(F.col("n00") + F.col("n11"), total)
-    macro = [(k + l) / 2.0 for k, l in zip(kept[:3], lost[:3])]
-    weighted = [_ratio(k * kept[3] + l * lost[3], total) for k, l in zip(kept[:3], lost[:3])]
-
-    def line(name, precision, recall, f1, support):
-        return F.struct(
-            F.lit(name).alias("class"), precision.cast("double").alias("precision"),
-            recall.cast("double").alias("recall"), f1.alias("f1"), support.alias("support"),
-        )
-
-    return counts.select(
-        F.inline(
-            F.array(
-                line(S.CLASS_NAMES[0], *kept),
-                line(S.CLASS_NAMES[1], *lost),
-                line("accuracy", F.lit(None), F.lit(None), right, total),
-                line("macro avg", *macro, total),
-                line("weighted avg", *weighted, total),
-            )
-        )
+    """Precision, recall, F1 and support per class, with accuracy and averages.
+
+    An empty denominator gives 0.
+    """
+    def ratio(num, den):
+        return F.expr(f"coalesce(try_divide(CAST({num} AS double), CAST({den} AS double)), 0.0D)")
+
+    counts = scores.agg(*[F.expr(n).alias(f"n{a}{p}") for (a, p), n in CELLS.items()])
+    rates = counts.selectExpr("*", "n00 + n01 AS s0", "n10 + n11 AS s1", "n00 + n01 + n10 + n11 AS s")
+    rates = rates.withColumns({
+        "p0": ratio("n00", "n00 + n10"), "p1": ratio("n11", "n01 + n11"),
+        "r0": ratio("n00", "s0"), "r1": ratio("n11", "s1"),
+    })
+    rates = rates.withColumns({
+        c: ratio(f"2.0D * p{i} * r{i}", f"p{i} + r{i}") for i, c in enumerate(("f0", "f1"))
+    })
+    averages = {f"macro_{m}": F.expr(f"({m}0 + {m}1) / 2.0D") for m in "prf"}
+    averages |= {f"weighted_{m}": ratio(f"{m}0 * s0 + {m}1 * s1", "s") for m in "prf"}
+    averages["correct"] = ratio("n00 + n11", "s")
+    lines = [
+        (S.CLASS_NAMES[0], "p0", "r0", "f0", "s0"),
+        (S.CLASS_NAMES[1], "p1", "r1", "f1", "s1"),
+        ("accuracy", "CAST(NULL AS double)", "CAST(NULL AS double)", "correct", "s"),
+        ("macro avg", "macro_p", "macro_r", "macro_f", "s"),
+        ("weighted avg", "weighted_p", "weighted_r", "weighted_f", "s"),
+    ]
+    rows = ", ".join(
+        f"named_struct('class', '{name}', 'precision', {p}, 'recall', {r}, 'f1', {f}, 'support', {n})"
+        for name, p, r, f, n in lines
     )
+    return rates.withColumns(averages).selectExpr(f"inline(array({rows}))")
 
 
 def roc_auc(scores: DataFrame, cuts: int = CUTS) -> DataFrame:
@@ -85,14 +69,9 @@ def roc_auc(scores: DataFrame, cuts: int = CUTS) -> DataFrame:
     how the scores are spread over tasks.
     """
     runs = running_counts(scores, cuts)
-    above = (F.col("cum_pos") - F.col("pos")).cast("decimal(19,0)")
-    twice = F.col("neg").cast("decimal(18,0)") * (above * 2 + F.col("pos"))
-    return runs.agg(
-        share(
-            F.sum(twice.cast(BIG)),
-            F.max(F.col("all_pos").cast("decimal(19,0)") * F.col("all_neg").cast("decimal(18,0)") * 2),
-        ).alias("roc_auc")
-    )
+    twice = "CAST(CAST(neg AS decimal(18,0)) * (CAST(cum_pos - pos AS decimal(19,0)) * 2 + pos) AS decimal(38,0))"
+    pairs = "CAST(all_pos AS decimal(19,0)) * CAST(all_neg AS decimal(18,0)) * 2"
+    return runs.agg(share(f"sum({twice})", f"max({pairs})").alias("roc_auc"))
 
 
 def roc_curve(scores: DataFrame, cuts: int = CUTS, drop_collinear: bool = False) -> DataFrame:
@@ -118,8 +97,8 @@ def roc_curve(scores: DataFrame, cuts: int = CUTS, drop_collinear: bool = False)
 def _point():
     return F.struct(
         F.col("score").alias("threshold"),
-        share(F.col("cum_neg"), F.col("all_neg")).alias("fpr"),
-        share(F.col("cum_pos"), F.col("all_pos")).alias("tpr"),
+        share("cum_neg", "all_neg").alias("fpr"),
+        share("cum_pos", "all_pos").alias("tpr"),
     )
 
 

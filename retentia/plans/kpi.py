@@ -5,47 +5,37 @@ from pyspark.sql import DataFrame, functions as F
 from retentia.functions.exact import money, money_sum, percent, rounded_ratio
 
 
-def _by_contract(customers: DataFrame) -> DataFrame:
-    charge = money("MonthlyCharges")
-    return customers.groupBy("Contract").agg(
-        F.count("*").alias("n"),
-        F.sum("Churn").alias("lost"),
-        F.sum(charge).alias("charges"),
-        F.count(charge).alias("charged"),
-        F.sum(F.when(F.col("Churn") == 1, charge)).alias("at_risk"),
-    )
-
-
-def _figures(n, lost, charges, charged, at_risk):
+CHARGE = money("MonthlyCharges")
+PARTS = {
+    "n": "count(*)",
+    "lost": "coalesce(sum(Churn), 0)",
+    "charges": f"sum({CHARGE})",
+    "charged": f"count({CHARGE})",
+    "at_risk": f"sum({CHARGE}) FILTER (WHERE Churn = 1)",
+}
+
+
+def _figures(part: dict) -> list:
+    """The scalar figures from SQL for their parts."""
     return [
-        n.alias("total_customers"),
-        lost.alias("churned"),
-        (n - lost).alias("retained"),
-        percent(lost, n).alias("churn_rate_pct"),
-        rounded_ratio(charges, charged).alias("avg_monthly"),
-        F.round(at_risk, 2).cast("double").alias("revenue_at_risk"),
+        F.expr(part["n"]).alias("total_customers"),
+        F.expr(part["lost"]).alias("churned"),
+        F.expr(f"{part['n']} - {part['lost']}").alias("retained"),
+        percent(part["lost"], part["n"]).alias("churn_rate_pct"),
+        rounded_ratio(part["charges"], part["charged"]).alias("avg_monthly"),
+        F.expr(f"CAST(round({part['at_risk']}, 2) AS double)").alias("revenue_at_risk"),
     ]
 
 
-def _sum(col):
-    return F.coalesce(F.sum(col), F.lit(0))
-
-
 def kpi_bundle(customers: DataFrame) -> DataFrame:
     """All scalar figures in one pass; zero customers give 0 and null rates."""
-    charge = money("MonthlyCharges")
-    return customers.agg(
-        *_figures(
-            F.count("*"), _sum("Churn"), F.sum(charge), F.count(charge),
-            F.sum(F.when(F.col("Churn") == 1, charge)),
-        )
-    )
+    return customers.agg(*_figures(PARTS))
 
 
 def kpi_by_contract(customers: DataFrame) -> DataFrame:
     return (
         customers.groupBy(F.col("Contract").alias("contract"))
-        .agg(F.count("*").alias("total"), percent(F.sum("Churn"), F.count("*")).alias("churn_pct"))
+        .agg(F.count("*").alias("total"), percent("sum(Churn)", "count(*)").alias("churn_pct"))
         .orderBy(F.desc("churn_pct"), "contract")
     )
 
@@ -56,14 +46,18 @@ def kpi_record(customers: DataFrame) -> DataFrame:
     One pass over the customers: the totals are sums over the per-contract rows,
     and the nested list has one entry per contract type.
     """
+    per_contract = customers.groupBy("Contract").agg(
+        *[F.expr(sql).alias(name) for name, sql in PARTS.items()]
+    )
+    rate = percent("lost", "n")
     entry = F.struct(
-        (-percent(F.col("lost"), F.col("n"))).alias("order"),
-        F.col("Contract").alias("contract"),
-        F.col("n").alias("total"),
-        percent(F.col("lost"), F.col("n")).alias("churn_pct"),
+        (-rate).alias("order"), F.col("Contract").alias("contract"),
+        F.col("n").alias("total"), rate.alias("churn_pct"),
     )
-    return _by_contract(customers).agg(
-        *_figures(_sum("n"), _sum("lost"), F.sum("charges"), F.sum("charged"), F.sum("at_risk")),
+    totals = {name: f"sum({name})" for name in PARTS}
+    totals.update({name: f"coalesce(sum({name}), 0)" for name in ("n", "lost")})
+    return per_contract.agg(
+        *_figures(totals),
         F.transform(
             F.sort_array(F.collect_list(entry)),
             lambda e: F.struct(e["contract"].alias("contract"), e["total"].alias("total"),

@@ -15,7 +15,7 @@ from retentia.functions.exact import (
 
 
 def _rate():
-    return percent(F.sum("Churn"), F.count("*"))
+    return percent("sum(Churn)", "count(*)")
 
 
 def churn_rate_overall(customers: DataFrame) -> DataFrame:
@@ -98,7 +98,7 @@ def tickets_vs_churn(customers: DataFrame, tickets: DataFrame, k: int = 20) -> D
         .join(per_customer, "customerID", "left")
         .groupBy("customerID", "Churn", "Contract")
         .agg(F.coalesce(F.sum("n"), F.lit(0)).alias("num_tickets"),
-             rounded_ratio(F.sum("sum"), F.sum("rated")).alias("avg_rating"))
+             rounded_ratio("sum(sum)", "sum(rated)").alias("avg_rating"))
         .orderBy(F.desc("num_tickets"), "customerID", "Churn", "Contract")
         .limit(k)
     )
@@ -112,8 +112,8 @@ def transactions_by_churn(customers: DataFrame, transactions: DataFrame) -> Data
     """
     per_customer = transactions.groupBy("customerID").agg(
         F.count("*").alias("n"),
-        F.sum(money("amount")).alias("paid"),
-        F.count(money("amount")).alias("n_paid"),
+        F.expr(f"sum({money('amount')})").alias("paid"),
+        F.expr(f"count({money('amount')})").alias("n_paid"),
         F.count_if(F.col("paid_on_time") == 0).alias("late"),
     )
     return (
@@ -122,8 +122,8 @@ def transactions_by_churn(customers: DataFrame, transactions: DataFrame) -> Data
         .groupBy("Churn")
         .agg(F.count_distinct("customerID").alias("customers"),
              F.sum("n").alias("total_transactions"),
-             rounded_ratio(F.sum("paid"), F.sum("n_paid")).alias("avg_txn_amount"),
-             percent(F.sum("late"), F.sum("n")).alias("late_payment_pct"))
+             rounded_ratio("sum(paid)", "sum(n_paid)").alias("avg_txn_amount"),
+             percent("sum(late)", "sum(n)").alias("late_payment_pct"))
     )
 
 
@@ -143,6 +143,6 @@ def segment_report(summary: DataFrame) -> DataFrame:
     """The stored pre-aggregate with its churn rate."""
     return summary.select(
         "Contract", "InternetService", "total_customers", "churned",
-        percent(F.col("churned"), F.col("total_customers")).alias("churn_pct"),
+        percent("churned", "total_customers").alias("churn_pct"),
         "avg_monthly", "avg_tenure",
     ).orderBy(F.desc("churn_pct"), "Contract", "InternetService")

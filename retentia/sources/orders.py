@@ -15,12 +15,27 @@ from retentia.operators.skew import join_unique
 
 CENTS = "decimal(18,2)"
 CHURN_DAYS = 365
+MONTHS = "greatest(tenure, 1)"
+
+
+SOURCES = {
+    "customer": "c_custkey long, c_name string, c_nationkey int, c_acctbal double, "
+                "c_mktsegment string",
+    "orders": "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, "
+              "o_orderdate timestamp_ntz, o_orderpriority string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "region": "r_regionkey int, r_name string",
+    "events": "event_id long, ts timestamp_ntz, user_id long, event_type string, "
+              "value double, props string",
+}
 
 
 def load(spark: SparkSession, folder: str) -> dict:
-    """The source tables as lazily read frames."""
-    names = ("customer", "orders", "nation", "region", "events")
-    return {n: spark.read.parquet(f"{folder}/{n}.parquet") for n in names}
+    """The source tables as lazily read frames; no job to find out the schema."""
+    return {
+        name: spark.read.schema(schema).parquet(f"{folder}/{name}.parquet")
+        for name, schema in SOURCES.items()
+    }
 
 
 def _months_between(first, last):
@@ -37,7 +52,7 @@ def churn_cut(orders: DataFrame, as_of=None):
     `as_of` saves the extra pass over the order dates when the snapshot date is
     known.
     """
-    end = F.lit(as_of).cast("timestamp") if as_of is not None else _last_date(orders)
+    end = F.lit(as_of).cast("timestamp_ntz") if as_of is not None else _last_date(orders)
     return end - F.expr(f"INTERVAL {CHURN_DAYS} DAYS")
 
 
@@ -90,10 +105,6 @@ def _attributes(source: dict, service: bool = True) -> DataFrame:
     )
 
 
-def _monthly_charges(total, tenure):
-    return rounded_ratio(total, F.greatest(tenure, F.lit(1)))
-
-
 CUSTOMER_COLUMNS = (
     "customerID", "SeniorCitizen", "tenure", "InternetService", "Contract",
     "PaymentMethod", "MonthlyCharges", "TotalCharges", "Churn",
@@ -110,12 +121,11 @@ def raw_customers(source: dict, columns=CUSTOMER_COLUMNS, as_of=None) -> DataFra
     profile = order_profile(source["orders"], "PaymentMethod" in columns)
     tenure = F.coalesce(_months_between(F.col("first"), F.col("last")), F.lit(0))
     lost = F.coalesce(F.col("last") < churn_cut(source["orders"], as_of), F.lit(True))
-    total = F.coalesce("total", F.lit(0).cast(CENTS))
     joined = _attributes(source, "InternetService" in columns).join(
         profile, F.col("customerID") == F.col("o_custkey"), "left"
     ).withColumn("tenure", tenure)
     derived = {
-        "MonthlyCharges": _monthly_charges(total, F.col("tenure")),
+        "MonthlyCharges": rounded_ratio("coalesce(total, 0)", MONTHS),
         "TotalCharges": F.coalesce(F.col("total").cast("string"), F.lit(" ")),
         "Churn": F.when(lost, "Yes").otherwise("No"),
     }
@@ -196,7 +206,7 @@ def training(source: dict, as_of=None) -> DataFrame:
         .withColumn("tenure", tenure)
         .select(
             "customerID", "SeniorCitizen", "tenure",
-            _monthly_charges(F.col("total"), F.col("tenure")).alias("MonthlyCharges"),
+            rounded_ratio("total", MONTHS).alias("MonthlyCharges"),
             F.col("total").cast("double").alias("TotalCharges"),
             F.col("n").alias("n_orders"),
             F.datediff(cut, "last").alias("recency"),
