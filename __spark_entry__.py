@@ -139,7 +139,7 @@ def _on_scores(report, **options):
 
 
 def label_encode(spark, sf):
-    people = _all_customers(spark, sf)
+    people = stage(_all_customers(spark, sf), "people")
     names = orders.TRAINING_CATEGORIES
     coded = features.encode(people, features.fit_encoder(people, names), names)
     return coded.select("customerID", *names)
@@ -184,20 +184,30 @@ def advice(spark, sf):
 
 # -- model --------------------------------------------------------------------
 
-_fits = {}
+_splits, _fits = {}, {}
+
+
+def _split(spark, sf):
+    """Training table with its hold-out mark, staged once per session and folder."""
+    at = (spark.sparkContext.applicationId, sf)
+    if at not in _splits:
+        rows = stage(orders.training(orders.load(spark, sf)), "training")
+        _splits[at] = stage(stratified_split(rows), "split")
+    return _splits[at]
+
+
+def _training_rows(spark, sf):
+    return _split(spark, sf).where("is_test = 0").drop("is_test")
 
 
 def _fitted(spark, sf):
-    """Model and hold-out, fitted once per session and folder."""
+    """Model and hold-out; the model is fitted once per session and folder."""
     at = (spark.sparkContext.applicationId, sf)
     if at not in _fits:
-        rows = stage(orders.training(orders.load(spark, sf)), "training")
-        split = stage(stratified_split(rows), "split")
-        model = train.fit_model(
-            split.where("is_test = 0"), FEATURES, train.BoosterSettings(rounds=ROUNDS)
+        _fits[at] = train.fit_model(
+            _training_rows(spark, sf), FEATURES, train.BoosterSettings(rounds=ROUNDS)
         )
-        _fits[at] = model, split.where("is_test = 1").drop("is_test")
-    return _fits[at]
+    return _fits[at], _split(spark, sf).where("is_test = 1").drop("is_test")
 
 
 def train_and_score(spark, sf):
@@ -236,6 +246,23 @@ def feature_importance(spark, sf):
     )
 
 
+def sampled_importance(spark, sf):
+    """Importance from 500 training rows, the sample the operator stands for."""
+    model, _ = _fitted(spark, sf)
+    return explain.sampled_importance(model, _training_rows(spark, sf), FEATURES.names)
+
+
+def attribution_roundtrip(spark, sf):
+    """Stored attributions, added up per customer to the log-odds they explain."""
+    model, holdout = _fitted(spark, sf)
+    folder = new_folder(spark, "attributions")
+    found = explain.attribution(model, holdout, FEATURES.names)
+    explain.write_attributions(found, FEATURES.names, folder)
+    return spark.read.parquet(folder).groupBy("customerID").agg(
+        F.count("*").alias("features"), F.round(F.sum("phi"), 6).alias("phi")
+    )
+
+
 def gain_importance(spark, sf):
     model, holdout = _fitted(spark, sf)
     return explain.global_importance(
@@ -328,6 +355,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "model_roundtrip": model_roundtrip,
         "tree_attribution": tree_attribution,
         "feature_importance": feature_importance,
+        "sampled_importance": sampled_importance,
+        "attribution_roundtrip": attribution_roundtrip,
         "gain_importance": gain_importance,
         "top_features": top_features,
         "score_stream": score_stream,

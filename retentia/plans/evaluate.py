@@ -22,17 +22,13 @@ def accuracy(scores: DataFrame) -> DataFrame:
 
 def confusion_matrix(scores: DataFrame) -> DataFrame:
     """Four rows (actual, predicted, n); empty cells are 0."""
-    cells = ", ".join(
-        f"named_struct('actual', {a}, 'predicted', {p}, 'n', {n})" for (a, p), n in CELLS.items()
-    )
-    return scores.agg(F.expr(f"array({cells})").alias("cells")).select(F.inline("cells"))
-
+    rates = scores.agg(*[F.expr(n).alias(f"n{a}{p}") for (a, p), n in CELLS.items()])
+    return rates.selectExpr(_inline(f"'actual', {a}, 'predicted', {p}, 'n', n{a}{p}" for a, p in CELLS))
 
-def classification_report(scores: DataFrame) -> DataFrame:
-    """Precision, recall, F1 and support per class, with accuracy and averages.
 
-    An empty denominator gives 0.
-    """
+def _rates(scores: DataFrame) -> DataFrame:
+    """One row: cell counts n.., supports s., and precision, recall and F1 of
+    class 0, class 1, macro and weighted.  An empty denominator gives 0."""
     def ratio(num, den):
         return F.expr(f"coalesce(try_divide(CAST({num} AS double), CAST({den} AS double)), 0.0D)")
 
@@ -45,21 +41,32 @@ def classification_report(scores: DataFrame) -> DataFrame:
     rates = rates.withColumns({
         c: ratio(f"2.0D * p{i} * r{i}", f"p{i} + r{i}") for i, c in enumerate(("f0", "f1"))
     })
-    averages = {f"macro_{m}": F.expr(f"({m}0 + {m}1) / 2.0D") for m in "prf"}
-    averages |= {f"weighted_{m}": ratio(f"{m}0 * s0 + {m}1 * s1", "s") for m in "prf"}
-    averages["correct"] = ratio("n00 + n11", "s")
-    lines = [
-        (S.CLASS_NAMES[0], "p0", "r0", "f0", "s0"),
-        (S.CLASS_NAMES[1], "p1", "r1", "f1", "s1"),
-        ("accuracy", "CAST(NULL AS double)", "CAST(NULL AS double)", "correct", "s"),
-        ("macro avg", "macro_p", "macro_r", "macro_f", "s"),
-        ("weighted avg", "weighted_p", "weighted_r", "weighted_f", "s"),
-    ]
-    rows = ", ".join(
-        f"named_struct('class', '{name}', 'precision', {p}, 'recall', {r}, 'f1', {f}, 'support', {n})"
-        for name, p, r, f, n in lines
-    )
-    return rates.withColumns(averages).selectExpr(f"inline(array({rows}))")
+    averages = {f"{m}_macro": F.expr(f"({m}0 + {m}1) / 2.0D") for m in "prf"}
+    averages |= {f"{m}_weighted": ratio(f"{m}0 * s0 + {m}1 * s1", "s") for m in "prf"}
+    return rates.withColumns({**averages, "correct": ratio("n00 + n11", "s")})
+
+
+# Lines of the class report and the columns of _rates they show.
+LINES = {
+    S.CLASS_NAMES[0]: ("p0", "r0", "f0", "s0"),
+    S.CLASS_NAMES[1]: ("p1", "r1", "f1", "s1"),
+    "accuracy": ("CAST(NULL AS double)", "CAST(NULL AS double)", "correct", "s"),
+    "macro avg": ("p_macro", "r_macro", "f_macro", "s"),
+    "weighted avg": ("p_weighted", "r_weighted", "f_weighted", "s"),
+}
+MEASURES = ("precision", "recall", "f1", "support")
+
+
+def _inline(rows) -> str:
+    return "inline(array(" + ", ".join(f"named_struct({row})" for row in rows) + "))"
+
+
+def classification_report(scores: DataFrame) -> DataFrame:
+    """Precision, recall, F1 and support per class, with accuracy and averages."""
+    return _rates(scores).selectExpr(_inline(
+        f"'class', '{name}', " + ", ".join(f"'{m}', {c}" for m, c in zip(MEASURES, columns))
+        for name, columns in LINES.items()
+    ))
 
 
 def roc_auc(scores: DataFrame, cuts: int = CUTS) -> DataFrame:
@@ -105,28 +112,21 @@ def _point():
 def evaluate_report(scores: DataFrame) -> DataFrame:
     """metric, value: accuracy, AUC, the confusion cells and the class report.
 
-    `scores` is read several times; pass a staged or persisted frame.
+    Two passes over `scores`, one for the counts and one for the curve; pass a
+    staged or persisted frame.
     """
-    def rows(df, *pairs):
-        entries = [F.struct(name.alias("metric"), value.cast("double").alias("value"))
-                   for name, value in pairs]
-        return df.select(F.inline(F.array(*entries)))
-
-    cell = F.concat_ws("_", F.lit("actual"), "actual", F.lit("predicted"), "predicted")
-    parts = [
-        rows(accuracy(scores), (F.lit("accuracy"), F.col("accuracy"))),
-        rows(roc_auc(scores), (F.lit("roc_auc"), F.col("roc_auc"))),
-        rows(confusion_matrix(scores), (cell, F.col("n"))),
-        rows(
-            classification_report(scores).where("class != 'accuracy'"),
-            *[(F.concat_ws(" ", "class", F.lit(m)), F.col(m))
-              for m in ("precision", "recall", "f1", "support")],
-        ),
-    ]
-    report = parts[0]
-    for part in parts[1:]:
-        report = report.unionByName(part)
-    return report
+    metrics = {"accuracy": "correct"}
+    metrics |= {f"actual_{a}_predicted_{p}": f"n{a}{p}" for a, p in CELLS}
+    metrics |= {
+        f"{name} {measure}": column
+        for name, columns in LINES.items() if name != "accuracy"
+        for measure, column in zip(MEASURES, columns)
+    }
+    counted = _rates(scores).selectExpr(_inline(
+        f"'metric', '{name}', 'value', CAST({column} AS double)" for name, column in metrics.items()
+    ))
+    area = roc_auc(scores).select(F.lit("roc_auc").alias("metric"), F.col("roc_auc").alias("value"))
+    return counted.unionByName(area)
 
 
 def log_loss(scores: DataFrame) -> DataFrame:

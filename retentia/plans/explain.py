@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from retentia.functions import shapley
 from retentia.functions.shapley import attribute_rows, contribution_table
+from retentia.operators.sampling import fixed_size_sample
 from retentia.plans.train import booster_of, feature_vectors
 from retentia.sources.staging import new_folder
 
@@ -158,6 +159,20 @@ def global_importance(attributions: DataFrame, names, key: str = "customerID") -
     )
 
 
+def sampled_importance(
+    model: PipelineModel, df: DataFrame, names, n: int = 500, method: str = "shap",
+    key: str = "customerID",
+) -> DataFrame:
+    """Importance from a repeatable sample of n rows, for a quick look."""
+    sample = fixed_size_sample(df, n, key)
+    return global_importance(attribution(model, sample, names, method, key), names, key)
+
+
+def write_attributions(attributions: DataFrame, names, path: str, key: str = "customerID") -> None:
+    """key, feature, phi, method as Parquet."""
+    long_form(attributions, names, key).write.mode("overwrite").parquet(path)
+
+
 def write_importance(importance: DataFrame, path: str) -> None:
     """feature, importance as CSV with a header; one row per feature."""
     importance.select("feature", "importance").coalesce(1).write.mode("overwrite").csv(

@@ -7,7 +7,7 @@ most frequent order priority; it has churned when it placed no order in the last
 do not hold (gender, partner, ...) is left out.
 """
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from retentia.functions.exact import rounded_ratio
 from retentia.operators.clean import clean_customers
@@ -166,17 +166,15 @@ def transactions(source: dict) -> DataFrame:
 def monthly_payments(source: dict) -> DataFrame:
     """customerID, month_num, amount: order sums per customer and month.
 
-    Orders are added up per calendar month before anything is compared within a
-    customer, so what is compared has at most one row per month.
+    Orders are added up per calendar month first, so the window over a customer
+    sees at most one row per month, however many orders it has.
     """
     calendar = F.year("o_orderdate") * 12 + F.month("o_orderdate")
     sums = source["orders"].groupBy(
         F.col("o_custkey").alias("customerID"), calendar.alias("month")
     ).agg(F.sum(F.col("o_totalprice").cast(CENTS)).cast("double").alias("amount"))
-    first = sums.groupBy("customerID").agg(F.min("month").alias("first"))
-    return sums.join(first, "customerID").select(
-        "customerID", (F.col("month") - F.col("first") + 1).alias("month_num"), "amount"
-    )
+    first = F.min("month").over(Window.partitionBy("customerID"))
+    return sums.select("customerID", (F.col("month") - first + 1).alias("month_num"), "amount")
 
 
 def support_tickets(source: dict) -> DataFrame:

@@ -190,6 +190,19 @@ def test_importance(spark, fitted, tmp_path):
     assert rows(explain.read_importance(spark, str(tmp_path / "imp"))) == [v[:2] for v in values]
 
 
+def test_sampled_importance_and_stored_attributions(spark, fitted, tmp_path):
+    model, holdout = fitted
+    whole = explain.global_importance(explain.attribution(model, holdout, FEATURES.names), FEATURES.names)
+    # a sample of at least as many rows is the whole table
+    assert rows(explain.sampled_importance(model, holdout, FEATURES.names)) == [
+        (f, pytest.approx(v), m) for f, v, m in rows(whole)]
+    found = explain.attribution(model, holdout, FEATURES.names)
+    explain.write_attributions(found, FEATURES.names, str(tmp_path / "phi"))
+    stored = spark.read.parquet(str(tmp_path / "phi"))
+    assert stored.columns == ["customerID", "feature", "phi", "method"]
+    assert stored.count() == 12 * holdout.count()
+
+
 def test_importance_file_with_other_headers(spark, tmp_path):
     (tmp_path / "i.csv").write_text(",0\ntenure,0.25\n")
     assert rows(explain.read_importance(spark, str(tmp_path / "i.csv"))) == [("tenure", 0.25)]
