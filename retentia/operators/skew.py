@@ -13,23 +13,19 @@ def join_unique(
 
     `lookup` also carries `count`, the number of fact rows of its key.  Keys with
     more than 1/1000 of the rows are hot; there cannot be more than 1,000 of
-    them, so their lookup rows are broadcast.  All other rows go through an
-    ordinary join, in which the rows of hot keys have nothing to find and are
-    spread over `salts` tasks by their row id.
+    them, so their list is broadcast.  Fact rows of a hot key are spread over
+    `salts` tasks by their row id, and its lookup row is repeated once per salt.
+    All other rows have salt 0 and join as usual.
     """
     total = facts.agg(F.count("*")).scalar()
     is_hot = F.col(count) * F.lit(HOT_SHARE) > total
-    values = [c for c in lookup.columns if c != key]
+    hot = lookup.where(is_hot).select(key, F.lit(True).alias("_hot"))
 
-    hot = lookup.where(is_hot).select(key, *[F.col(c).alias(f"_hot_{c}") for c in values])
-    rest = lookup.where(~is_hot).withColumn("_salt", F.lit(0))
-    found_hot = F.col(f"_hot_{count}").isNotNull()
-    spread = F.pmod(F.xxhash64(row_id), F.lit(salts)).cast("int") + 1
-    joined = (
-        facts.join(F.broadcast(hot), key, "left")
-        .withColumn("_salt", F.when(found_hot, spread).otherwise(0))
-        .join(rest, [key, "_salt"], "left")
-        .where(found_hot | F.col(count).isNotNull())
+    spread = F.pmod(F.xxhash64(row_id), F.lit(salts)).cast("int")
+    salted = facts.join(F.broadcast(hot), key, "left").withColumn(
+        "_salt", F.when(F.col("_hot"), spread).otherwise(0)
     )
-    looked_up = [F.coalesce(f"_hot_{c}", c).alias(c) for c in values if c != count]
-    return joined.select(*facts.columns, *looked_up)
+    every = F.sequence(F.lit(0), F.when(is_hot, salts - 1).otherwise(0))
+    copies = lookup.withColumn("_salt", F.explode(every)).drop(count)
+    values = [c for c in lookup.columns if c not in (key, count)]
+    return salted.join(copies, [key, "_salt"]).select(*facts.columns, *values)

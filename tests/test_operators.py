@@ -93,13 +93,19 @@ def test_skewed_join_equals_plain_join(spark):
 
 
 def test_skewed_join_spreads_the_hot_key(spark):
-    facts = spark.range(4000).select(F.col("id").alias("row"), F.lit(1).alias("k"))
+    # 4,000 of 8,000 rows belong to key -1, the others to 2,000 keys
+    k = F.when(F.col("id") % 2 == 0, -1).otherwise((F.col("id") / 4).cast("long"))
+    facts = spark.range(8000).select(F.col("id").alias("row"), k.alias("k"))
     lookup = facts.groupBy("k").agg(F.count("*").alias("n_rows"), F.min("row").alias("first"))
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    fixed = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false",
+             "spark.sql.shuffle.partitions": "8"}
+    before = {name: spark.conf.get(name) for name in fixed}
     try:
-        sizes = join_unique(facts, lookup, "k", "row").groupBy(F.spark_partition_id()).count().collect()
+        for name, value in fixed.items():
+            spark.conf.set(name, value)
+        joined = join_unique(facts, lookup, "k", "row").where("k = -1")
+        sizes = [r["count"] for r in joined.groupBy(F.spark_partition_id()).count().collect()]
     finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
-    assert max(r["count"] for r in sizes) < 2000
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    assert sum(sizes) == 4000 and max(sizes) < 1500
