@@ -10,30 +10,31 @@ import math
 import numpy as np
 
 
-def contribution_table(value: float, cover) -> np.ndarray:
-    """[pattern, path position] -> contribution of a leaf.
+def contribution_tables(values: np.ndarray, cover: np.ndarray) -> np.ndarray:
+    """[leaf, pattern, path position] -> contribution, for leaves with m path features.
 
-    Bit j of the pattern is set when the row meets the conditions on path feature
-    j; cover[j] is the share of training rows that meet them, the stand-in for a
-    feature that is not in the subset.
+    values is [leaf], cover is [leaf, position]: the share of training rows that
+    meet the conditions on that feature, the stand-in for a feature that is not
+    in the subset.  Bit j of a pattern is set when a row meets the conditions on
+    path feature j.
     """
-    m = len(cover)
-    patterns = np.arange(2**m)
-    meets = (patterns[:, None] >> np.arange(m)) & 1
+    n, m = cover.shape
+    meets = (np.arange(2**m)[:, None] >> np.arange(m)) & 1
     weight = [math.factorial(k) * math.factorial(m - 1 - k) / math.factorial(m) for k in range(m)]
-    table = np.zeros((2**m, m))
+    tables = np.empty((n, 2**m, m))
     for i in range(m):
-        # sizes[:, k]: over all subsets of k other features, the sum of products
+        # sizes[..., k]: over all subsets of k other features, the sum of products
         # of `meets` inside the subset and `cover` outside it
-        sizes = np.zeros((2**m, m))
-        sizes[:, 0] = 1.0
+        sizes = np.zeros((n, 2**m, m))
+        sizes[..., 0] = 1.0
         for j in range(m):
             if j != i:
-                grown = sizes * cover[j]
-                grown[:, 1:] += (sizes * meets[:, [j]])[:, :-1]
+                grown = sizes * cover[:, j, None, None]
+                grown[..., 1:] += (sizes * meets[:, j, None])[..., :-1]
                 sizes = grown
-        table[:, i] = value * (meets[:, i] - cover[i]) * (sizes @ weight)
-    return table
+        effect = values[:, None] * (meets[:, i] - cover[:, i, None])
+        tables[..., i] = effect * (sizes @ weight)
+    return tables
 
 
 def attribute_rows(x: np.ndarray, leaves: list) -> np.ndarray:

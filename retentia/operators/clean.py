@@ -7,12 +7,18 @@ from retentia.functions.bands import yes_flag
 # What counts as a number in a text column.  Spark's own cast would also take
 # Java spellings such as '1d' and '1f'.
 NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
+INFINITE = r"^(?i)[+-]?inf(inity)?$"
 
 
 def coerce_numeric(col: Column) -> Column:
-    """Text to double; null for blanks and for anything that is not a number."""
+    """Text to double; null for blanks and for anything that is not a number.
+
+    Infinity must be spelled out: digits too large for a double give null.
+    """
     text = col.cast("string")
-    return F.when(text.rlike(NUMBER), text.try_cast("double"))
+    value = text.try_cast("double")
+    finite = F.when(F.abs(value) != float("inf"), value)
+    return F.when(text.rlike(NUMBER), finite).when(text.rlike(INFINITE), value)
 
 
 def clean_customers(raw: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from retentia.functions import shapley
-from retentia.functions.shapley import attribute_rows, contribution_table
+from retentia.functions.shapley import attribute_rows, contribution_tables
 from retentia.operators.sampling import fixed_size_sample
 from retentia.plans.train import booster_of, feature_vectors
 from retentia.sources.staging import new_folder
@@ -86,6 +86,21 @@ def _leaf(value, path):
     return Leaf(value, features, low, high, cover)
 
 
+def _tabulated(all_leaves: list) -> list:
+    """(features, low, high, contribution table) of every leaf with a path."""
+    by_length = {}
+    for leaf in all_leaves:
+        by_length.setdefault(len(leaf.features), []).append(leaf)
+    by_length.pop(0, None)
+    out = []
+    for same in by_length.values():
+        tables = contribution_tables(
+            np.array([leaf.value for leaf in same]), np.array([leaf.cover for leaf in same])
+        )
+        out += [(list(l.features), l.low, l.high, table) for l, table in zip(same, tables)]
+    return out
+
+
 def base_value(all_leaves: list) -> float:
     """Expected log-odds over the training rows."""
     return float(sum(leaf.value * math.prod(leaf.cover) for leaf in all_leaves))
@@ -103,10 +118,7 @@ def tree_attribution(
     spark = df.sparkSession
     found = leaves(*tree_nodes(spark, model))
     base = base_value(found)
-    shared = spark.sparkContext.broadcast([
-        (list(leaf.features), leaf.low, leaf.high, contribution_table(leaf.value, leaf.cover))
-        for leaf in found if leaf.features
-    ])
+    shared = spark.sparkContext.broadcast(_tabulated(found))
 
     def explain(batches):
         for batch in batches:

@@ -7,10 +7,11 @@ from retentia.sources.files import csv_scan
 
 
 def test_total_charges_are_coerced_and_missing_ones_dropped(make):
-    texts = [" ", "", "nan", "1e3", " 5 ", "1d", "1f", None, "12.5", "-3", ".5", "abc", "0x1A"]
+    texts = [" ", "", "nan", "1e3", " 5 ", "1d", "1f", None, "12.5", "-3", ".5", "abc", "0x1A", "1e400", "-Infinity", "infinite"]
     raw = make.raw([customer(str(i), total=t, churn="No") for i, t in enumerate(texts)])
     got = {r.customerID: r.TotalCharges for r in clean_customers(raw).collect()}
-    assert got == {"3": 1000.0, "4": 5.0, "8": 12.5, "9": -3.0, "10": 0.5}
+    assert got == {"3": 1000.0, "4": 5.0, "8": 12.5, "9": -3.0, "10": 0.5,
+                   "14": float("-inf")}
 
 
 def test_churn_is_one_only_for_yes(make):
