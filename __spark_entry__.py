@@ -13,7 +13,7 @@ from retentia.functions.advice import recommendations
 from retentia.functions.bands import risk_band, threshold_class
 from retentia.operators import sampling, spine
 from retentia.operators.clean import clean_customers, coerce_numeric
-from retentia.operators.split import stratified_split
+from retentia.operators.split import hash_split, stratified_split
 from retentia.plans import catalog, eda, evaluate, explain, features, kpi, reports, score, train
 from retentia.sources import files, orders, requests
 from retentia.sources.staging import new_folder, stage
@@ -138,6 +138,14 @@ def _on_scores(report, **options):
     return lambda spark, sf: report(_rule_scores(spark, sf), **options)
 
 
+def mean_abs_attribution(spark, sf):
+    """Mean absolute value per feature of attributions in whole numbers."""
+    people = _customers(spark, sf, ("customerID", "tenure", "SeniorCitizen"))
+    values = F.expr("array(CAST(tenure - 50 AS double), CAST(SeniorCitizen - 1 AS double))")
+    found = people.select("customerID", values.alias("phi"), F.lit("rule").alias("method"))
+    return explain.global_importance(found, ["tenure", "SeniorCitizen"])
+
+
 def label_encode(spark, sf):
     people = stage(_all_customers(spark, sf), "people")
     names = orders.TRAINING_CATEGORIES
@@ -334,6 +342,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "stratified_split": lambda s, sf: stratified_split(
             stage(_customers(s, sf, ("customerID", "Churn")), "people")
         ),
+        "hash_split": lambda s, sf: hash_split(_customers(s, sf, ("customerID", "Churn"))),
+        "mean_abs_attribution": mean_abs_attribution,
         "label_encode": label_encode,
         "standardise": standardise,
         "accuracy": _on_scores(evaluate.accuracy),

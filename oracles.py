@@ -339,6 +339,15 @@ FROM (SELECT customerID, Churn, count(*) OVER (PARTITION BY Churn) AS n,
              row_number() OVER (PARTITION BY Churn
                                 ORDER BY md5('42:' || customerID), customerID) AS rn
       FROM cust)"""),
+    "hash_split": _on_customers("""
+SELECT customerID, Churn,
+       CAST(CAST('0x' || substr(md5('42:' || customerID), 1, 8) AS BIGINT) < 858993459 AS INTEGER) AS is_test
+FROM cust"""),
+    "mean_abs_attribution": _on_customers("""
+SELECT * FROM (
+  SELECT 'tenure' AS feature, sum(abs(tenure - 50)) / count(*) AS importance, 'rule' AS method FROM cust
+  UNION ALL SELECT 'SeniorCitizen', sum(abs(SeniorCitizen - 1)) / count(*), 'rule' FROM cust
+)"""),
     "label_encode": _on_customers("""
 SELECT customerID,
        CAST(dense_rank() OVER (ORDER BY InternetService) - 1 AS INTEGER) AS InternetService,

@@ -38,12 +38,9 @@ def load(spark: SparkSession, folder: str) -> dict:
     }
 
 
-def _months_between(first, last):
-    return (F.year(last) - F.year(first)) * 12 + F.month(last) - F.month(first)
-
-
-def _last_date(orders: DataFrame):
-    return orders.agg(F.max("o_orderdate")).scalar()
+def _months_between(first: str, last: str) -> str:
+    """SQL of the calendar months from one date column to another."""
+    return f"(year({last}) - year({first})) * 12 + month({last}) - month({first})"
 
 
 def churn_cut(orders: DataFrame, as_of=None):
@@ -52,57 +49,55 @@ def churn_cut(orders: DataFrame, as_of=None):
     `as_of` saves the extra pass over the order dates when the snapshot date is
     known.
     """
-    end = F.lit(as_of).cast("timestamp_ntz") if as_of is not None else _last_date(orders)
+    if as_of is not None:
+        end = F.lit(as_of).cast("timestamp_ntz")
+    else:
+        end = orders.agg(F.max("o_orderdate")).scalar()
     return end - F.expr(f"INTERVAL {CHURN_DAYS} DAYS")
 
 
-def order_profile(orders: DataFrame, payment: bool, used=None) -> DataFrame:
+def order_profile(orders: DataFrame, payment: bool, used: str = "true") -> DataFrame:
     """Per customer: first and last order, amount, orders, payment method.
 
-    `used` restricts the orders that count; the others still show up in
-    `last_any`.  All aggregates combine before the shuffle, so a customer with
+    `used` is the SQL condition for an order to count; the others still show up
+    in `last_any`.  All aggregates combine before the shuffle, so a customer with
     any share of the orders is no hot spot.  The payment method needs counts per
     customer and priority first, a second level that is left out when it is not
     asked for.
     """
-    used = F.lit(True) if used is None else used
-    date, amount = F.col("o_orderdate"), F.col("o_totalprice").cast(CENTS)
     base = [
-        F.min(F.when(used, date)).alias("first"),
-        F.max(F.when(used, date)).alias("last"),
-        F.max(date).alias("last_any"),
-        F.sum(F.when(used, amount)).alias("total"),
-        F.count_if(used).alias("n"),
+        f"min(o_orderdate) FILTER (WHERE {used}) AS first",
+        f"max(o_orderdate) FILTER (WHERE {used}) AS last",
+        "max(o_orderdate) AS last_any",
+        f"sum(CAST(o_totalprice AS {CENTS})) FILTER (WHERE {used}) AS total",
+        f"count_if({used}) AS n",
     ]
     if not payment:
-        return orders.groupBy("o_custkey").agg(*base)
-    by_method = orders.groupBy("o_custkey", "o_orderpriority").agg(*base)
-    # An order that does not count must not make its priority a candidate.
-    rank = F.when(F.col("n") > 0, F.struct(-F.col("n"), F.col("o_orderpriority")))
-    return by_method.groupBy("o_custkey").agg(
-        F.min("first").alias("first"),
-        F.max("last").alias("last"),
-        F.max("last_any").alias("last_any"),
-        F.sum("total").alias("total"),
-        F.sum("n").alias("n"),
-        F.min_by("o_orderpriority", rank).alias("PaymentMethod"),
+        return orders.groupBy("o_custkey").agg(*map(F.expr, base))
+    again = [
+        "min(first) AS first", "max(last) AS last", "max(last_any) AS last_any",
+        "sum(total) AS total", "sum(n) AS n",
+        # An order that does not count must not make its priority a candidate.
+        "min_by(o_orderpriority, if(n > 0, struct(-n, o_orderpriority), NULL)) AS PaymentMethod",
+    ]
+    return (
+        orders.groupBy("o_custkey", "o_orderpriority").agg(*map(F.expr, base))
+        .groupBy("o_custkey").agg(*map(F.expr, again))
     )
 
 
 def _attributes(source: dict, service: bool = True) -> DataFrame:
     """customerID, Contract, SeniorCitizen and, if wanted, InternetService."""
-    people = source["customer"]
+    people = source["customer"].selectExpr(
+        "c_custkey AS customerID", "c_mktsegment AS Contract",
+        "CAST(c_acctbal < 0 AS int) AS SeniorCitizen", "c_nationkey AS n_nationkey",
+    )
     if service:
         place = source["nation"].join(
-            source["region"], F.col("n_regionkey") == F.col("r_regionkey")
-        ).select("n_nationkey", F.col("r_name").alias("InternetService"))
-        people = people.join(place, F.col("c_nationkey") == F.col("n_nationkey"), "left")
-    return people.select(
-        F.col("c_custkey").alias("customerID"),
-        F.col("c_mktsegment").alias("Contract"),
-        (F.col("c_acctbal") < 0).cast("int").alias("SeniorCitizen"),
-        *(["InternetService"] if service else []),
-    )
+            source["region"].withColumnRenamed("r_regionkey", "n_regionkey"), "n_regionkey"
+        ).selectExpr("n_nationkey", "r_name AS InternetService")
+        people = people.join(place, "n_nationkey", "left")
+    return people.drop("n_nationkey")
 
 
 CUSTOMER_COLUMNS = (
@@ -119,15 +114,16 @@ def raw_customers(source: dict, columns=CUSTOMER_COLUMNS, as_of=None) -> DataFra
     service or the counts behind the payment method.
     """
     profile = order_profile(source["orders"], "PaymentMethod" in columns)
-    tenure = F.coalesce(_months_between(F.col("first"), F.col("last")), F.lit(0))
-    lost = F.coalesce(F.col("last") < churn_cut(source["orders"], as_of), F.lit(True))
     joined = _attributes(source, "InternetService" in columns).join(
-        profile, F.col("customerID") == F.col("o_custkey"), "left"
-    ).withColumn("tenure", tenure)
+        profile.withColumnRenamed("o_custkey", "customerID"), "customerID", "left"
+    ).withColumns({
+        "tenure": F.expr(f"coalesce({_months_between('first', 'last')}, 0)"),
+        "cut": churn_cut(source["orders"], as_of),
+    })
     derived = {
         "MonthlyCharges": rounded_ratio("coalesce(total, 0)", MONTHS),
-        "TotalCharges": F.coalesce(F.col("total").cast("string"), F.lit(" ")),
-        "Churn": F.when(lost, "Yes").otherwise("No"),
+        "TotalCharges": F.expr("coalesce(CAST(total AS string), ' ')"),
+        "Churn": F.expr("if(coalesce(last < cut, true), 'Yes', 'No')"),
     }
     return joined.select(*[derived[c].alias(c) if c in derived else c for c in columns])
 
@@ -140,13 +136,10 @@ def customers(source: dict, columns=CUSTOMER_COLUMNS, as_of=None) -> DataFrame:
 
 def payments(source: dict) -> DataFrame:
     """Transactions without their month number: a plain projection of orders."""
-    return source["orders"].select(
-        F.col("o_orderkey").alias("transaction_id"),
-        F.col("o_custkey").alias("customerID"),
-        F.col("o_totalprice").alias("amount"),
-        F.col("o_orderpriority").alias("payment_method"),
-        F.coalesce(F.col("o_orderstatus") == "F", F.lit(False)).cast("int").alias("paid_on_time"),
-        "o_orderdate",
+    return source["orders"].selectExpr(
+        "o_orderkey AS transaction_id", "o_custkey AS customerID", "o_totalprice AS amount",
+        "o_orderpriority AS payment_method",
+        "CAST(coalesce(o_orderstatus = 'F', false) AS int) AS paid_on_time", "o_orderdate",
     )
 
 
@@ -154,12 +147,11 @@ def transactions(source: dict) -> DataFrame:
     """One row per order; month_num counts from the customer's first order."""
     facts = payments(source)
     first = facts.groupBy("customerID").agg(
-        F.min("o_orderdate").alias("first"), F.count(F.lit(1)).alias("n_rows")
+        F.min("o_orderdate").alias("first"), F.count("*").alias("n_rows")
     )
-    month = _months_between(F.col("first"), F.col("o_orderdate")) + 1
-    return join_unique(facts, first, "customerID", "transaction_id").select(
-        "transaction_id", "customerID", month.alias("month_num"), "amount",
-        "payment_method", "paid_on_time",
+    return join_unique(facts, first, "customerID", "transaction_id").selectExpr(
+        "transaction_id", "customerID", f"{_months_between('first', 'o_orderdate')} + 1 AS month_num",
+        "amount", "payment_method", "paid_on_time",
     )
 
 
@@ -179,12 +171,10 @@ def monthly_payments(source: dict) -> DataFrame:
 
 def support_tickets(source: dict) -> DataFrame:
     """Events of type error or click, read as support tickets."""
-    return source["events"].where(F.col("event_type").isin("error", "click")).select(
-        F.col("event_id").alias("ticket_id"),
-        F.col("user_id").alias("customerID"),
-        F.col("event_type").alias("category"),
-        (F.col("value") < 50).cast("int").alias("resolved"),
-        (F.least(F.lit(4), F.floor(F.col("value") / 50)) + 1).cast("int").alias("rating"),
+    return source["events"].where("event_type IN ('error', 'click')").selectExpr(
+        "event_id AS ticket_id", "user_id AS customerID", "event_type AS category",
+        "CAST(value < 50 AS int) AS resolved",
+        "CAST(least(4, floor(value / 50)) + 1 AS int) AS rating",
     )
 
 
@@ -196,20 +186,20 @@ def training(source: dict, as_of=None) -> DataFrame:
     """
     orders = source["orders"]
     cut = churn_cut(orders, as_of)
-    profile = order_profile(orders, payment=True, used=F.col("o_orderdate") < cut)
-    tenure = _months_between(F.col("first"), F.col("last"))
+    profile = order_profile(orders.withColumn("cut", cut), payment=True, used="o_orderdate < cut")
     return (
         profile.where("n > 0")
-        .join(_attributes(source), F.col("o_custkey") == F.col("customerID"))
-        .withColumn("tenure", tenure)
+        .withColumnRenamed("o_custkey", "customerID")
+        .join(_attributes(source), "customerID")
+        .withColumns({"tenure": F.expr(_months_between("first", "last")), "cut": cut})
         .select(
             "customerID", "SeniorCitizen", "tenure",
             rounded_ratio("total", MONTHS).alias("MonthlyCharges"),
-            F.col("total").cast("double").alias("TotalCharges"),
-            F.col("n").alias("n_orders"),
-            F.datediff(cut, "last").alias("recency"),
+            F.expr("CAST(total AS double) AS TotalCharges"),
+            F.expr("n AS n_orders"),
+            F.expr("datediff(cut, last) AS recency"),
             "InternetService", "Contract", "PaymentMethod",
-            (F.col("last_any") < cut).cast("int").alias("Churn"),
+            F.expr("CAST(last_any < cut AS int) AS Churn"),
         )
     )
 
