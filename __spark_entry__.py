@@ -26,31 +26,33 @@ FEATURES = features.FeatureSet(
 ROUNDS = 20
 
 
-BASIC = ("customerID", "tenure", "Contract", "MonthlyCharges", "Churn")
-SERVICE = (*BASIC, "InternetService")
-PAYMENT = (*BASIC, "PaymentMethod")
+def _sources(spark, sf):
+    """Raw customers, transactions, support tickets."""
+    source = orders.load(spark, sf)
+    return orders.raw_customers(source), orders.transactions(source), orders.support_tickets(source)
 
 
-def _customers(spark, sf, columns=BASIC):
-    return orders.customers(orders.load(spark, sf), columns)
+_built = {}
 
 
-def _all_customers(spark, sf):
-    return _customers(spark, sf, orders.CUSTOMER_COLUMNS)
+def _stored(spark, sf):
+    """The four tables, built once per session and folder; the reports read them."""
+    at = (spark.sparkContext.applicationId, sf)
+    if at not in _built:
+        _built[at] = files.build_tables(*_sources(spark, sf), new_folder(spark, "tables"))
+    return _built[at]
 
 
-def _sources(spark, sf):
-    """Raw customers, transactions, support tickets."""
-    source = orders.load(spark, sf)
-    return orders.raw_customers(source), orders.transactions(source), orders.support_tickets(source)
+def _customers(spark, sf):
+    return _stored(spark, sf)["customers"]
 
 
-def _tables(spark, sf):
-    return files.derive_tables(*_sources(spark, sf))
+def _on_customers(report, **options):
+    return lambda spark, sf: report(_customers(spark, sf), **options)
 
 
-def _on_customers(report, columns=BASIC, **options):
-    return lambda spark, sf: report(_customers(spark, sf, columns), **options)
+def _named(name):
+    return lambda spark, sf: catalog.run_named(name, _stored(spark, sf))
 
 
 # -- sources and generation --------------------------------------------------
@@ -69,9 +71,9 @@ def table_roundtrip(spark, sf):
 
 
 def spine_fill(spark, sf):
-    source = orders.load(spark, sf)
-    people = orders.customers(source, ("customerID", "tenure"))
-    return spine.spine_fill(people, orders.monthly_payments(source))
+    tables = _stored(spark, sf)
+    people = tables["customers"].select("customerID", "tenure")
+    return spine.spine_fill(people, spine.monthly_amounts(tables["transactions"]))
 
 
 def score_requests(spark, sf):
@@ -86,26 +88,8 @@ def score_requests(spark, sf):
 
 # -- reports ------------------------------------------------------------------
 
-def tickets_vs_churn(spark, sf):
-    source = orders.load(spark, sf)
-    return reports.tickets_vs_churn(
-        orders.customers(source, BASIC), orders.support_tickets(source)
-    )
-
-
-def transactions_by_churn(spark, sf):
-    source = orders.load(spark, sf)
-    return reports.transactions_by_churn(
-        orders.customers(source, BASIC), orders.payments(source)
-    )
-
-
-def segment_report(spark, sf):
-    return reports.segment_report(reports.segment_summary(_customers(spark, sf, SERVICE)))
-
-
 def adhoc_sql(spark, sf):
-    files.register_views(_tables(spark, sf))
+    files.register_views(_stored(spark, sf))
     return catalog.adhoc_sql(spark, """
         SELECT c.Contract, t.category, COUNT(*) AS tickets, SUM(t.resolved) AS resolved
         FROM customers c JOIN support_tickets t ON c.customerID = t.customerID
@@ -140,14 +124,14 @@ def _on_scores(report, **options):
 
 def mean_abs_attribution(spark, sf):
     """Mean absolute value per feature of attributions in whole numbers."""
-    people = _customers(spark, sf, ("customerID", "tenure", "SeniorCitizen"))
+    people = _customers(spark, sf)
     values = F.expr("array(CAST(tenure - 50 AS double), CAST(SeniorCitizen - 1 AS double))")
     found = people.select("customerID", values.alias("phi"), F.lit("rule").alias("method"))
     return explain.global_importance(found, ["tenure", "SeniorCitizen"])
 
 
 def label_encode(spark, sf):
-    people = stage(_all_customers(spark, sf), "people")
+    people = _customers(spark, sf)
     names = orders.TRAINING_CATEGORIES
     coded = features.encode(people, features.fit_encoder(people, names), names)
     return coded.select("customerID", *names)
@@ -155,7 +139,7 @@ def label_encode(spark, sf):
 
 def standardise(spark, sf):
     columns = ["SeniorCitizen", "tenure", "MonthlyCharges", "TotalCharges"]
-    people = stage(_customers(spark, sf, ["customerID", *columns]), "people")
+    people = _customers(spark, sf).select("customerID", *columns)
     scaled = features.fit_scaler(people, columns).transform(people)
     values = vector_to_array("features")
     return scaled.select(
@@ -181,7 +165,7 @@ def advice(spark, sf):
     def named(column, value, name):
         return F.when(F.col(column) == value, name).otherwise(F.col(column))
 
-    people = _all_customers(spark, sf).withColumns({
+    people = _customers(spark, sf).withColumns({
         "Contract": named("Contract", "BUILDING", "Month-to-month"),
         "InternetService": named("InternetService", "EUROPE", "Fiber optic"),
         "PaymentMethod": named("PaymentMethod", "1-URGENT", "Electronic check"),
@@ -296,53 +280,47 @@ def score_stream(spark, sf):
 
 def entry(spark: SparkSession) -> DataFrame:
     """Flagship query: churn by contract on the smallest data."""
-    return reports.churn_by_contract(_customers(spark, "/root/testdata/sf0.001"))
+    source = orders.load(spark, "/root/testdata/sf0.001")
+    return reports.churn_by_contract(orders.customers(source))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
-        "customers": _all_customers,
+        "customers": lambda s, sf: orders.customers(orders.load(s, sf)),
         "clean_customers": lambda s, sf: clean_customers(
             orders.raw_customers(orders.load(s, sf))
         ).select("customerID", "TotalCharges", "Churn", "SeniorCitizen"),
         "transactions": lambda s, sf: orders.transactions(orders.load(s, sf)),
         "support_tickets": lambda s, sf: orders.support_tickets(orders.load(s, sf)),
-        "segment_summary": _on_customers(reports.segment_summary, SERVICE),
+        "segment_summary": lambda s, sf: _stored(s, sf)["segment_summary"],
         "training": lambda s, sf: orders.training(orders.load(s, sf)),
         "csv_ingest": csv_ingest,
         "table_roundtrip": table_roundtrip,
-        "row_count_report": lambda s, sf: files.row_count_report(_tables(s, sf)),
-        "score_requests": score_requests,
-        "billing_month_spine": lambda s, sf: spine.billing_month_spine(_customers(s, sf)).select(
-            "customerID", "Contract", "month_num"
+        "row_count_report": lambda s, sf: files.row_count_report(
+            files.derive_tables(*_sources(s, sf))
         ),
+        "score_requests": score_requests,
+        "billing_month_spine": lambda s, sf: spine.billing_month_spine(
+            _customers(s, sf).select("customerID", "Contract", "tenure")
+        ).drop("tenure"),
         "spine_fill": spine_fill,
-        "churn_rate_overall": _on_customers(reports.churn_rate_overall),
-        "churn_by_contract": _on_customers(reports.churn_by_contract),
-        "revenue_at_risk_by_service": _on_customers(reports.revenue_at_risk_by_service, SERVICE),
-        "top_risk_customers": _on_customers(reports.top_risk_customers, (*SERVICE, "TotalCharges")),
-        "churn_by_payment": _on_customers(reports.churn_by_payment, PAYMENT),
-        "tenure_cohorts": _on_customers(reports.tenure_cohorts),
-        "senior_segments": _on_customers(reports.senior_segments, (*BASIC, "SeniorCitizen")),
-        "tickets_vs_churn": tickets_vs_churn,
-        "segment_report": segment_report,
-        "transactions_by_churn": transactions_by_churn,
+        **{name: _named(name) for name in catalog.NAMED},
         "adhoc_sql": adhoc_sql,
         "kpi_bundle": _on_customers(kpi.kpi_bundle),
         "kpi_by_contract": _on_customers(kpi.kpi_by_contract),
         "kpi_record": kpi_record,
         "kpi_text": _on_customers(kpi.kpi_text),
         "contract_rate_raw": _on_customers(eda.contract_rate_raw),
-        "rate_by_service": _on_customers(eda.mean_rate, SERVICE, key="InternetService"),
-        "rate_by_payment": _on_customers(eda.mean_rate_rounded, PAYMENT, key="PaymentMethod"),
-        "share_of_total": _on_customers(eda.share_of_total, SERVICE),
+        "rate_by_service": _on_customers(eda.mean_rate, key="InternetService"),
+        "rate_by_payment": _on_customers(eda.mean_rate_rounded, key="PaymentMethod"),
+        "share_of_total": _on_customers(eda.share_of_total),
         "histogram_by_class": _on_customers(eda.histogram_by_class),
         "sample_fixed": _on_customers(eda.charges_scatter),
-        "preview": lambda s, sf: sampling.preview(_all_customers(s, sf)),
+        "preview": _on_customers(sampling.preview),
         "stratified_split": lambda s, sf: stratified_split(
-            stage(_customers(s, sf, ("customerID", "Churn")), "people")
+            _customers(s, sf).select("customerID", "Churn")
         ),
-        "hash_split": lambda s, sf: hash_split(_customers(s, sf, ("customerID", "Churn"))),
+        "hash_split": lambda s, sf: hash_split(_customers(s, sf).select("customerID", "Churn")),
         "mean_abs_attribution": mean_abs_attribution,
         "label_encode": label_encode,
         "standardise": standardise,

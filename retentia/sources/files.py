@@ -43,13 +43,17 @@ def build_tables(
     are read once.
     """
     spark = raw.sparkSession
-    write_tables(
-        {"customers": clean_customers(raw), "transactions": transactions,
-         "support_tickets": tickets}, path,
+    tables = {
+        "customers": clean_customers(raw), "transactions": transactions,
+        "support_tickets": tickets,
+    }
+    write_tables(tables, path)
+    stored = read_tables(spark, path, tables, {n: df.schema for n, df in tables.items()})
+    summary = segment_summary(stored["customers"])
+    write_tables({"segment_summary": summary}, path)
+    return stored | read_tables(
+        spark, path, ["segment_summary"], {"segment_summary": summary.schema}
     )
-    customers = read_tables(spark, path, ["customers"])["customers"]
-    write_tables({"segment_summary": segment_summary(customers)}, path)
-    return read_tables(spark, path)
 
 
 def write_tables(tables: dict, path: str) -> None:
@@ -92,8 +96,15 @@ def write_bucketed(df: DataFrame, table: str, path: str, buckets: int) -> None:
        .bucketBy(buckets, "customerID").sortBy("customerID").saveAsTable(table))
 
 
-def read_tables(spark: SparkSession, path: str, names=S.TABLES) -> dict:
-    return {name: spark.read.parquet(f"{path}/{name}") for name in names}
+def read_tables(spark: SparkSession, path: str, names=S.TABLES, schemas=None) -> dict:
+    """Stored tables; a known schema saves looking it up in the files."""
+    found = {}
+    for name in names:
+        reader = spark.read
+        if schemas and name in schemas:
+            reader = reader.schema(schemas[name])
+        found[name] = reader.parquet(f"{path}/{name}")
+    return found
 
 
 def register_views(tables: dict) -> None:
