@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import os
+import sys
 from collections.abc import Callable
 
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
+
 from oracles import ORACLES
 from retentia import schema as S
 from retentia.functions.advice import recommendations
