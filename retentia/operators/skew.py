@@ -3,29 +3,35 @@
 from pyspark.sql import DataFrame, functions as F
 
 HOT_SHARE = 1000  # hot: more than 1/1000 of all fact rows
+SALTS_PER_PART = 4  # several small pieces per task even out where they land
 
 
 def join_unique(
-    facts: DataFrame, lookup: DataFrame, key: str, row_id: str, salts: int = 64,
-    count: str = "n_rows",
+    facts: DataFrame, lookup: DataFrame, key: str, row_id: str,
+    count: str = "n_rows", parts: int | None = None,
 ) -> DataFrame:
     """Inner join of `facts` with `lookup`, which has one row per key.
 
     `lookup` also carries `count`, the number of fact rows of its key.  Keys with
     more than 1/1000 of the rows are hot; there cannot be more than 1,000 of
-    them, so their list is broadcast.  Fact rows of a hot key are spread over
-    `salts` tasks by their row id, and its lookup row is repeated once per salt.
-    All other rows have salt 0 and join as usual.
+    them, so their list is broadcast.  A hot key gets four salts for each average
+    shuffle partition of rows it holds (`parts`, by default the session's
+    number): its fact rows are spread over them by row id, and its lookup row is
+    repeated once per salt, which adds at most 4 * parts + 1,000 rows.  All other
+    rows have salt 0 and join as usual.
     """
+    parts = parts or int(facts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     total = facts.agg(F.count("*")).scalar()
     is_hot = F.col(count) * F.lit(HOT_SHARE) > total
-    hot = lookup.where(is_hot).select(key, F.lit(True).alias("_hot"))
+    salts = F.when(is_hot, F.ceil(F.col(count) * F.lit(parts * SALTS_PER_PART) / total)).otherwise(1)
+    hot = lookup.where(is_hot).select(key, salts.alias("_salts"))
 
-    spread = F.pmod(F.xxhash64(row_id), F.lit(salts)).cast("int")
+    spread = F.pmod(F.xxhash64(row_id), F.col("_salts"))
     salted = facts.join(F.broadcast(hot), key, "left").withColumn(
-        "_salt", F.when(F.col("_hot"), spread).otherwise(0)
+        "_salt", F.coalesce(spread, F.lit(0))
     )
-    every = F.sequence(F.lit(0), F.when(is_hot, salts - 1).otherwise(0))
-    copies = lookup.withColumn("_salt", F.explode(every)).drop(count)
+    copies = lookup.withColumn(
+        "_salt", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1))
+    ).drop(count)
     values = [c for c in lookup.columns if c not in (key, count)]
     return salted.join(copies, [key, "_salt"]).select(*facts.columns, *values)
