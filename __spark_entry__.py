@@ -23,6 +23,15 @@ from retentia.sources import files, orders, requests
 from retentia.sources.staging import new_folder, stage
 from retentia.streaming import scoring
 
+# Queries for training data, where their subpackage and pipeline are present.
+try:
+    import retentia.llm.registry as llm
+    import corpus_pipeline
+except ModuleNotFoundError as missing:
+    if missing.name not in ("retentia.llm", "retentia.llm.registry", "corpus_pipeline"):
+        raise
+    llm = corpus_pipeline = None
+
 FEATURES = features.FeatureSet(
     numbers=tuple(orders.TRAINING_NUMBERS), categories=tuple(orders.TRAINING_CATEGORIES)
 )
@@ -352,8 +361,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "gain_importance": gain_importance,
         "top_features": top_features,
         "score_stream": score_stream,
+        **(llm.QUERIES if llm else {}),
+        **({"pipeline": corpus_pipeline.run} if corpus_pipeline else {}),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLES)
+    found = {**ORACLES, **(llm.SQL if llm else {})}
+    if corpus_pipeline and corpus_pipeline.ORACLE_SQL:
+        found["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return found
