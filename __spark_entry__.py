@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import importlib
 import os
 import sys
 from collections.abc import Callable
@@ -23,14 +24,19 @@ from retentia.sources import files, orders, requests
 from retentia.sources.staging import new_folder, stage
 from retentia.streaming import scoring
 
-# Queries for training data, where their subpackage and pipeline are present.
-try:
-    import retentia.llm.registry as llm
-    import corpus_pipeline
-except ModuleNotFoundError as missing:
-    if missing.name not in ("retentia.llm", "retentia.llm.registry", "corpus_pipeline"):
+
+def _optional(name):
+    """The module, or None where it or its package is absent; its own errors are raised."""
+    try:
+        return importlib.import_module(name)
+    except ModuleNotFoundError as missing:
+        if f"{name}.".startswith(f"{missing.name}."):
+            return None
         raise
-    llm = corpus_pipeline = None
+
+
+# Queries for training data, where their subpackage and pipeline are present.
+llm, corpus_pipeline = _optional("retentia.llm.registry"), _optional("corpus_pipeline")
 
 FEATURES = features.FeatureSet(
     numbers=tuple(orders.TRAINING_NUMBERS), categories=tuple(orders.TRAINING_CATEGORIES)
