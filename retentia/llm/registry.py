@@ -2,8 +2,35 @@
 
 from pyspark.sql import functions as F
 
-from retentia.llm import mixing, sharding
+from retentia.llm import langid, mixing, pieces, sharding, warc
 from retentia.llm.common import table
+from retentia.sources.staging import new_folder
+
+PIECE_MODEL = "piece_bpe_32k.model"
+
+
+def piece_model_path():
+    import public_tokenizers
+
+    return public_tokenizers.path(PIECE_MODEL)
+
+
+def op2_piece_roundtrip(spark, sf):
+    coded = pieces.encode_decode(table(spark, sf, "documents").select("doc_id", "text"), piece_model_path())
+    return coded.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def op6_language(spark, sf):
+    docs = table(spark, sf, "documents")
+    content = langid.dictionaries(docs.where(~langid.held_out("doc_id")))
+    found = langid.identify(docs.select("doc_id", "text"), content)
+    return found.select(
+        "doc_id", langid.held_out("doc_id").alias("held_out"), "lang_pred", "score", "rejected"
+    )
 
 
 def op8_hilbert_shards(spark, sf):
@@ -20,9 +47,19 @@ def op9_systematic_mix(spark, sf):
     )
 
 
+def op10_warc_roundtrip(spark, sf):
+    pages = table(spark, sf, "pages")
+    folder = new_folder(spark, "warc")
+    warc.write_archives(warc.record_plan(pages), warc.train_dictionary(pages), folder)
+    return warc.read_archives(spark, folder).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url"
+    )
+
+
 QUERIES = {
     f.__name__: f for f in (
-        op8_hilbert_shards, op9_systematic_mix,
+        op2_piece_roundtrip, op6_language, op8_hilbert_shards, op9_systematic_mix,
+        op10_warc_roundtrip,
     )
 }
 
