@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from retentia.llm import langid, mixing, pieces, sharding, warc
+from retentia.llm import covertree, langid, mixing, pieces, sharding, warc
 from retentia.llm.common import table
 from retentia.sources.staging import new_folder
 
@@ -15,6 +15,10 @@ def piece_model_path():
     return public_tokenizers.path(PIECE_MODEL)
 
 
+def op1_cover_tree_neardup(spark, sf):
+    return covertree.near_duplicates(table(spark, sf, "embeddings"))
+
+
 def op2_piece_roundtrip(spark, sf):
     coded = pieces.encode_decode(table(spark, sf, "documents").select("doc_id", "text"), piece_model_path())
     return coded.select(
@@ -58,7 +62,7 @@ def op10_warc_roundtrip(spark, sf):
 
 QUERIES = {
     f.__name__: f for f in (
-        op2_piece_roundtrip, op6_language, op8_hilbert_shards, op9_systematic_mix,
+        op1_cover_tree_neardup, op2_piece_roundtrip, op6_language, op8_hilbert_shards, op9_systematic_mix,
         op10_warc_roundtrip,
     )
 }
