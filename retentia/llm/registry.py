@@ -2,9 +2,9 @@
 
 from pyspark.sql import functions as F
 
-from retentia.llm import covertree, langid, mixing, pieces, sharding, warc
+from retentia.llm import covertree, hamming, langid, licenses, mixing, pieces, sharding, warc
 from retentia.llm.common import table
-from retentia.sources.staging import new_folder
+from retentia.sources.staging import new_folder, stage
 
 PIECE_MODEL = "piece_bpe_32k.model"
 
@@ -28,6 +28,20 @@ def op2_piece_roundtrip(spark, sf):
     )
 
 
+def op4_license_scan(spark, sf):
+    found = licenses.scan_licenses(table(spark, sf, "documents").select("doc_id", "text"))
+    return found.drop("text")
+
+
+CODE_BITS = 64
+
+
+def op5_hamming_topk(spark, sf):
+    codes = stage(hamming.sign_codes(table(spark, sf, "embeddings"), CODE_BITS), "sign-codes")
+    found = hamming.top_k(codes, codes.where("id % 50 = 0"), CODE_BITS)
+    return found.withColumnRenamed("id", "vec_id")
+
+
 def op6_language(spark, sf):
     docs = table(spark, sf, "documents")
     content = langid.dictionaries(docs.where(~langid.held_out("doc_id")))
@@ -62,9 +76,13 @@ def op10_warc_roundtrip(spark, sf):
 
 QUERIES = {
     f.__name__: f for f in (
-        op1_cover_tree_neardup, op2_piece_roundtrip, op6_language, op8_hilbert_shards, op9_systematic_mix,
+        op1_cover_tree_neardup, op2_piece_roundtrip, op4_license_scan,
+        op5_hamming_topk, op6_language, op8_hilbert_shards, op9_systematic_mix,
         op10_warc_roundtrip,
     )
 }
 
-SQL = {}
+SQL = {
+    "op4_license_scan": licenses.oracle_sql(),
+    "op5_hamming_topk": hamming.oracle_sql(CODE_BITS),
+}
