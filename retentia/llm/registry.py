@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from retentia.llm import covertree, hamming, langid, licenses, mixing, pieces, sharding, warc
+from retentia.llm import covertree, hamming, langid, lattice, licenses, mixing, pieces, sharding, warc
 from retentia.llm.common import table
 from retentia.sources.staging import new_folder, stage
 
@@ -28,6 +28,13 @@ def op2_piece_roundtrip(spark, sf):
     )
 
 
+def op3_lattice_scores(spark, sf):
+    docs = table(spark, sf, "documents")
+    return lattice.score_texts(
+        docs, piece_model_path(), ~langid.held_out("doc_id", folds=5)
+    )
+
+
 def op4_license_scan(spark, sf):
     found = licenses.scan_licenses(table(spark, sf, "documents").select("doc_id", "text"))
     return found.drop("text")
@@ -76,7 +83,7 @@ def op10_warc_roundtrip(spark, sf):
 
 QUERIES = {
     f.__name__: f for f in (
-        op1_cover_tree_neardup, op2_piece_roundtrip, op4_license_scan,
+        op1_cover_tree_neardup, op2_piece_roundtrip, op3_lattice_scores, op4_license_scan,
         op5_hamming_topk, op6_language, op8_hilbert_shards, op9_systematic_mix,
         op10_warc_roundtrip,
     )
