@@ -3,7 +3,6 @@
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from retentia.llm.common import attach
 from retentia.sources.staging import stage
 
 
@@ -31,53 +30,49 @@ def star_edges(left: np.ndarray, right: np.ndarray):
     return nodes[label[other]], nodes[other]
 
 
-def _smallest(edges: DataFrame) -> DataFrame:
-    """Per node with a smaller neighbour, its smallest neighbour."""
-    return edges.groupBy("v").agg(F.min("u").alias("m"))
+def _state(edges: DataFrame):
+    """Number of edges and an order-free sum over them: equal for equal edge sets."""
+    return edges.agg(
+        F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))
+    ).first()
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of `edges` (two whole-number columns u, v).
 
     The component is its smallest node.  Large-star and small-star steps alternate
-    until nothing changes; each step keeps at most as many edges as there were.
-    Minima are combined before the shuffle, and hubs are joined by `attach`, so a
-    node with most of the edges is no task of its own.  Every round is staged.
-    Null ends and loops are ignored.
+    until nothing changes; that takes rounds in the order of the logarithm of the
+    longest path.  A step keeps at most as many edges as there were.  Minima are
+    combined before the shuffle; joins on a hub with very many edges are left to
+    adaptive skew handling, as only its side of the join is large.  Every round is
+    staged.  Null ends and loops are ignored.
     """
-    low, high = F.least("u", "v"), F.greatest("u", "v")
     current = stage(
-        edges.where("u != v").select(low.alias("u"), high.alias("v")).distinct(), "edges"
+        edges.where("u != v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(),
+        "edges",
     )
+    state = _state(current)
     while True:
         # Large star: larger neighbours of a node move to its smallest neighbour.
-        both = current.select(F.col("u").alias("n"), F.col("v").alias("o")).unionByName(
-            current.select(F.col("v").alias("n"), F.col("u").alias("o"))
+        least = current.groupBy(F.col("v").alias("n")).agg(F.min("u").alias("m"))
+        moved = current.join(least, current["u"] == least["n"], "left").select(
+            F.coalesce("m", "u").alias("u"), "v"
         )
-        least = stage(
-            both.groupBy("n").agg(F.least(F.min("o"), F.min("n")).alias("m")).where("m < n")
-            .select(F.col("n").alias("u"), "m"),
-            "least",
+        # A node with smaller neighbours stays linked to the smallest of them.
+        large = stage(
+            moved.unionByName(least.select(F.col("m").alias("u"), F.col("n").alias("v"))).distinct(), "large"
         )
-        moved = attach(current, least, "u")
-        # A node's link to its own minimum is kept by the smaller side.
-        large = moved.select(F.coalesce("m", "u").alias("u"), "v").unionByName(
-            least.select(F.col("m").alias("u"), F.col("u").alias("v"))
-        ).where("u != v").distinct()
-        large = stage(large, "large")
-        # Small star: smaller neighbours of a node and the node move to the smallest.
-        small_least = stage(_smallest(large), "small")
-        small = attach(large, small_least, "v")
-        small = small.select(F.col("m").alias("u"), F.col("u").alias("v")).unionByName(
-            small_least.select(F.col("m").alias("u"), "v")
-        ).where("u != v").select(
-            F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")
-        ).distinct()
-        following = stage(small, "edges")
-        change = following.join(current, ["u", "v"], "left_anti").limit(1).count()
-        if not change and following.count() == current.count():
+        # Small star: the smaller neighbours of a node move to the smallest of them.
+        least = large.groupBy(F.col("v").alias("n")).agg(F.min("u").alias("m"))
+        small = large.join(least, large["v"] == least["n"]).select("m", "u", "v")
+        current = stage(
+            small.select(F.col("m").alias("u"), F.when(F.col("u") == F.col("m"), F.col("v")).otherwise(F.col("u")).alias("v"))
+            .unionByName(small.select(F.col("m").alias("u"), "v")).distinct(),
+            "edges",
+        )
+        before, state = state, _state(current)
+        if state == before:
             break
-        current = following
-    return following.select(F.col("v").alias("node"), F.col("u").alias("component")).unionByName(
-        following.select(F.col("u").alias("node"), F.col("u").alias("component")).distinct()
+    return current.select(F.col("v").alias("node"), F.col("u").alias("component")).unionByName(
+        current.select(F.col("u").alias("node"), F.col("u").alias("component")).distinct()
     )

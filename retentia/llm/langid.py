@@ -72,8 +72,9 @@ class Classifier:
         return self.names[best], 1.0 - found[best] / min(rest) if rest else 1.0
 
 
-def identify(docs: DataFrame, content: dict, text="text", margin: float = MIN_MARGIN) -> DataFrame:
-    """`docs` with `lang_pred`, `score` and `rejected` (replaced if present).
+def identify(docs: DataFrame, content: dict, text="text", margin: float = MIN_MARGIN,
+             names=("lang_pred", "score", "rejected")) -> DataFrame:
+    """`docs` with `lang_pred`, `score` and `rejected`, or as `names` (replaced if present).
 
     `score` is the share of bytes the chosen dictionary saves over the second best,
     0 to 1.  A null text or one without a letter is 'und' with score 0; with no
@@ -82,13 +83,12 @@ def identify(docs: DataFrame, content: dict, text="text", margin: float = MIN_MA
     the dictionaries, bounded per language, go to the tasks.
     """
     shared = docs.sparkSession.sparkContext.broadcast(content)
-    new = ("lang_pred", "score", "rejected")
-    base = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in new])
+    base = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in names])
     kept = base.columns
     marked = base.withColumn("_letters", F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)))
     schema = T.StructType([
-        *base.schema.fields, T.StructField("lang_pred", T.StringType()),
-        T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType()),
+        *base.schema.fields,
+        *map(T.StructField, names, (T.StringType(), T.DoubleType(), T.BooleanType())),
     ])
 
     def run(batches):
@@ -104,7 +104,7 @@ def identify(docs: DataFrame, content: dict, text="text", margin: float = MIN_MA
                  pa.array([f[0] for f in found], pa.string()),
                  pa.array([f[1] for f in found], pa.float64()),
                  pa.array([f[0] == UNKNOWN or f[1] < margin for f in found], pa.bool_())],
-                names=[*kept, *new],
+                names=[*kept, *names],
             )
 
     return marked.mapInArrow(run, schema)

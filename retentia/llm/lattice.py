@@ -5,7 +5,7 @@ pieces, of the product of the pieces' probabilities: a forward recursion in log
 space.  Pieces are those of a public vocabulary, all single bytes, and every
 training word as a whole.  Whole words have their unigram probability; the
 other pieces start from the vocabulary's own order and are re-estimated from
-their expected counts in the training words.  Cuts into smaller pieces share
+their expected counts in the distinct training words.  Cuts into smaller pieces share
 the probability of words not met in training, estimated from those met once.
 A text is its words, each with a leading space, and an end symbol; the
 probabilities of all texts together do not exceed 1.
@@ -178,7 +178,10 @@ def word_counts(rows: DataFrame) -> DataFrame:
 
 def piece_scores(spark: SparkSession, counts: DataFrame, pieces: list, texts: int,
                  rounds: int = ROUNDS) -> np.ndarray:
-    """Log probability of each piece, and of the end symbol last."""
+    """Log probability of each piece, and of the end symbol last.
+
+    Every distinct training word counts once: the pieces stand for words yet unmet.
+    """
     shared = spark.sparkContext.broadcast(pieces)
     scores = initial_scores(pieces)
     expected = np.zeros(len(pieces))
@@ -189,9 +192,8 @@ def piece_scores(spark: SparkSession, counts: DataFrame, pieces: list, texts: in
             lattice = Lattice(shared.value, sent.value)
             total = np.zeros(len(shared.value))
             for batch in batches:
-                total += lattice.expected_counts(
-                    batch.column("word").to_pylist(), batch.column("c").to_numpy()
-                )
+                words = batch.column("word").to_pylist()
+                total += lattice.expected_counts(words, np.ones(len(words)))
             used = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(used.astype(np.int32)), pa.array(total[used])], names=["piece", "n"]

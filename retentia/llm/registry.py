@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from retentia.llm import covertree, hamming, langid, lattice, licenses, mixing, pieces, sharding, warc
+from retentia.llm import covertree, hamming, jaccard, langid, lattice, licenses, mixing, pieces, sharding, warc
 from retentia.llm.common import table
 from retentia.sources.staging import new_folder, stage
 
@@ -58,6 +58,10 @@ def op6_language(spark, sf):
     )
 
 
+def op7_jaccard_join(spark, sf):
+    return jaccard.jaccard_components(table(spark, sf, "documents"))
+
+
 def op8_hilbert_shards(spark, sf):
     placed = sharding.hilbert_shards(table(spark, sf, "documents"))
     return placed.select(
@@ -84,7 +88,7 @@ def op10_warc_roundtrip(spark, sf):
 QUERIES = {
     f.__name__: f for f in (
         op1_cover_tree_neardup, op2_piece_roundtrip, op3_lattice_scores, op4_license_scan,
-        op5_hamming_topk, op6_language, op8_hilbert_shards, op9_systematic_mix,
+        op5_hamming_topk, op6_language, op7_jaccard_join, op8_hilbert_shards, op9_systematic_mix,
         op10_warc_roundtrip,
     )
 }
