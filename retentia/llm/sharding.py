@@ -21,7 +21,7 @@ def hilbert_index(axes: list[Column], bits: int = BITS) -> Column:
     steps = F.array(*[
         F.struct(F.lit(1 << b).alias("q"), F.lit(i).alias("i"))
         for b in range(bits - 1, 0, -1) for i in range(n)
-    ])
+    ]).cast("array<struct<q:int,i:int>>")
 
     def turn(x, step):
         low = step["q"] - 1
@@ -40,7 +40,7 @@ def hilbert_index(axes: list[Column], bits: int = BITS) -> Column:
             F.coalesce(F.get(acc, F.size(acc) - 1), F.lit(0)).bitwiseXOR(v)
         )),
     )
-    highs = F.array(*[F.lit(1 << b) for b in range(bits - 1, 0, -1)])
+    highs = F.array(*[F.lit(1 << b) for b in range(bits - 1, 0, -1)]).cast("array<int>")
 
     def straighten(x):
         last = F.get(x, F.lit(n - 1))
