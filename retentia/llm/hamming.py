@@ -86,7 +86,11 @@ def top_k(index: DataFrame, queries: DataFrame, bits: int, k: int = K) -> DataFr
     )
     finished = []
     for radius in range(SEGMENT + 1):
-        probes = open_.select("q", "bound", F.posexplode("q").alias("seg", "own")).select(
+        # With segments 0..j at this radius and the others one below, all codes up to
+        # distance m * radius + j are known: more than up to the bound is not needed.
+        probes = open_.select("q", "bound", F.posexplode("q").alias("seg", "own")).where(
+            F.col("seg") <= F.col("bound") - m * radius
+        ).select(
             "q", "bound", "seg", F.explode(_masks(radius)).alias("mask"), "own"
         ).select("q", "bound", "seg", F.col("own").bitwiseXOR(F.col("mask")).alias("value"))
         near = _gaps(F.col("p.q"), F.col("x.code"), m)
@@ -96,7 +100,8 @@ def top_k(index: DataFrame, queries: DataFrame, bits: int, k: int = K) -> DataFr
         accept = distance <= F.col("p.bound")
         for condition in first:
             accept = accept & condition
-        met = probes.alias("p").join(
+        # Probes outnumber their estimate, so they must not be broadcast.
+        met = probes.hint("merge").alias("p").join(
             postings.alias("x"),
             (F.col("p.seg") == F.col("x.seg")) & (F.col("p.value") == F.col("x.value")) & accept,
         ).select(F.col("p.q").alias("q"), distance.alias("d"), "x.ids")
