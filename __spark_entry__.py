@@ -41,8 +41,7 @@ llm, corpus_pipeline = _optional("retentia.llm.registry"), _optional("corpus_pip
 FEATURES = features.FeatureSet(
     numbers=tuple(orders.TRAINING_NUMBERS), categories=tuple(orders.TRAINING_CATEGORIES)
 )
-# Boosting rounds in the registered model queries; the library default is 300.
-ROUNDS = 20
+SETTINGS = train.BoosterSettings()
 
 
 def _sources(spark, sf):
@@ -216,14 +215,19 @@ def _fitted(spark, sf):
     at = (spark.sparkContext.applicationId, sf)
     if at not in _fits:
         _fits[at] = train.fit_model(
-            _training_rows(spark, sf), FEATURES, train.BoosterSettings(rounds=ROUNDS)
+            _training_rows(spark, sf), FEATURES, SETTINGS
         )
     return _fits[at], _split(spark, sf).where("is_test = 1").drop("is_test")
 
 
+def _for_scoring(spark, sf):
+    """The fitted model and the whole training table."""
+    return _fitted(spark, sf)[0], _split(spark, sf).drop("is_test")
+
+
 def train_and_score(spark, sf):
-    model, holdout = _fitted(spark, sf)
-    return score.score_customers(model, holdout)
+    model, rows = _for_scoring(spark, sf)
+    return score.score_customers(model, rows)
 
 
 def holdout_loss(spark, sf):
@@ -238,22 +242,22 @@ def model_evaluation(spark, sf):
 
 def model_roundtrip(spark, sf):
     """Scores of the saved and reloaded model."""
-    model, holdout = _fitted(spark, sf)
+    model, rows = _for_scoring(spark, sf)
     folder = new_folder(spark, "model")
     train.save_model(model, folder)
-    return score.score_customers(train.load_model(spark, folder), holdout)
+    return score.score_customers(train.load_model(spark, folder), rows)
 
 
 def tree_attribution(spark, sf):
-    model, holdout = _fitted(spark, sf)
-    found = explain.attribution(model, holdout, FEATURES.names)
+    model, rows = _for_scoring(spark, sf)
+    found = explain.attribution(model, rows, FEATURES.names)
     return explain.long_form(found, FEATURES.names)
 
 
 def feature_importance(spark, sf):
-    model, holdout = _fitted(spark, sf)
+    model, rows = _for_scoring(spark, sf)
     return explain.global_importance(
-        explain.attribution(model, holdout, FEATURES.names), FEATURES.names
+        explain.attribution(model, rows, FEATURES.names), FEATURES.names
     )
 
 
@@ -265,9 +269,9 @@ def sampled_importance(spark, sf):
 
 def attribution_roundtrip(spark, sf):
     """Stored attributions, added up per customer to the log-odds they explain."""
-    model, holdout = _fitted(spark, sf)
+    model, rows = _for_scoring(spark, sf)
     folder = new_folder(spark, "attributions")
-    found = explain.attribution(model, holdout, FEATURES.names)
+    found = explain.attribution(model, rows, FEATURES.names)
     explain.write_attributions(found, FEATURES.names, folder)
     return spark.read.parquet(folder).groupBy("customerID").agg(
         F.count("*").alias("features"), F.round(F.sum("phi"), 6).alias("phi")
@@ -275,9 +279,9 @@ def attribution_roundtrip(spark, sf):
 
 
 def gain_importance(spark, sf):
-    model, holdout = _fitted(spark, sf)
+    model, rows = _for_scoring(spark, sf)
     return explain.global_importance(
-        explain.attribution(model, holdout, FEATURES.names, "gain"), FEATURES.names
+        explain.attribution(model, rows, FEATURES.names, "gain"), FEATURES.names
     )
 
 
@@ -289,10 +293,10 @@ def top_features(spark, sf):
 
 
 def score_stream(spark, sf):
-    model, holdout = _fitted(spark, sf)
+    model, rows = _for_scoring(spark, sf)
     arrived, out, log = (new_folder(spark, n) for n in ("arrived", "scored", "progress"))
-    holdout.write.parquet(arrived)
-    records = scoring.record_stream(spark, arrived, holdout.schema)
+    rows.write.parquet(arrived)
+    records = scoring.record_stream(spark, arrived, rows.schema)
     scoring.score_stream(model, records, out, log).awaitTermination()
     return spark.read.parquet(out)
 

@@ -247,7 +247,11 @@ FROM (SELECT * REPLACE (nullif(TotalText, '') AS TotalText) FROM rawc)"""),
     "spine_fill": _on_tables(f"""
 SELECT s.customerID, s.tenure, CAST(m AS INTEGER) AS month_num,
        coalesce(CAST(paid AS DOUBLE), 0.0) AS amount
-FROM ({_SPINE}) s LEFT JOIN (
+FROM (
+  SELECT c.customerID, tenure, unnest(range(1, greatest(tenure, 1, coalesce(last, 1)) + 1)) AS m
+  FROM cust c LEFT JOIN (SELECT customerID, max(month_num) AS last FROM tx GROUP BY customerID) t
+    ON c.customerID = t.customerID
+) s LEFT JOIN (
   SELECT customerID, month_num, sum(CAST(amount AS DECIMAL(18,2))) AS paid
   FROM tx GROUP BY customerID, month_num
 ) p ON s.customerID = p.customerID AND s.m = p.month_num"""),

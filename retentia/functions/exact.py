@@ -12,8 +12,16 @@ from pyspark.sql import Column, functions as F
 
 
 def money(amount: str) -> str:
-    """SQL of an amount as a decimal; NaN and infinities become null."""
-    return f"try_cast({amount} AS decimal(24,6))"
+    """SQL of an amount as a decimal; NaN becomes null.
+
+    An amount that does not fit, 1e18 or more or infinite, fails the query: no
+    amount is left out of a sum without notice.
+    """
+    return (
+        f"CASE WHEN isnan({amount}) THEN NULL "
+        f"WHEN abs(double({amount})) = double('Infinity') THEN raise_error('CAST of an infinite amount') "
+        f"ELSE CAST({amount} AS decimal(24,6)) END"
+    )
 
 
 def rounded_ratio(num: str, den: str, places: int = 2) -> Column:

@@ -4,10 +4,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from retentia.sources.staging import stage
 
-CUTS = 128  # score ranges, each summed by its own task
 
-
-def running_counts(scores: DataFrame, cuts: int = CUTS) -> DataFrame:
+def running_counts(scores: DataFrame, cuts: int | None = None) -> DataFrame:
     """Per distinct score: pos, neg, and their totals from the top score down.
 
     `next_pos` and `next_neg` are the counts of the next lower score.
@@ -15,11 +13,13 @@ def running_counts(scores: DataFrame, cuts: int = CUTS) -> DataFrame:
     `scores` has `score` and a 0/1 `label`.  Equal scores are merged first, with
     map-side combining, so a score shared by many rows is one row here, and staged,
     as the steps below read them three times.  The
-    distinct scores are cut into ranges at their quantiles; each range is summed
+    distinct scores are cut into `cuts` ranges, by default one per shuffle partition,
+    at their quantiles; each range is summed
     on its own and shifted by the totals of the ranges above it, of which there
     are at most cuts + 1 rows (safe to broadcast and to order in one task).
     Where exactly the cuts fall has no effect on the result.
     """
+    cuts = cuts or int(scores.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     per_score = stage(
         scores.where("score is not null and label is not null").groupBy("score").agg(
             F.count_if(F.col("label") == 1).alias("pos"),

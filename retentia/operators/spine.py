@@ -5,8 +5,8 @@ from pyspark.sql import DataFrame, functions as F
 from retentia.functions.exact import money
 
 
-def _months():
-    return F.sequence(F.lit(1), F.greatest(F.col("tenure"), F.lit(1)))
+def _months(*more):
+    return F.sequence(F.lit(1), F.greatest(F.col("tenure"), F.lit(1), *more))
 
 
 def billing_month_spine(customers: DataFrame) -> DataFrame:
@@ -17,6 +17,9 @@ def billing_month_spine(customers: DataFrame) -> DataFrame:
 def spine_fill(customers: DataFrame, monthly: DataFrame) -> DataFrame:
     """Spine with `amount` per customer-month, 0 where nothing was paid.
 
+    A customer's months run to the last one paid for where that is after its
+    tenure, so the spine holds every amount.
+
     `monthly` has customerID, month_num, amount and at most one row per customer
     and month.  It is folded to one map per customer, which holds a month at
     most once, and joined before the months are unfolded: the shuffles carry
@@ -28,7 +31,7 @@ def spine_fill(customers: DataFrame, monthly: DataFrame) -> DataFrame:
     amount = F.coalesce(F.element_at("paid", F.col("month_num")), F.lit(0.0))
     return (
         customers.join(paid, "customerID", "left")
-        .withColumn("month_num", F.explode(_months()))
+        .withColumn("month_num", F.explode(_months(F.array_max(F.map_keys("paid")))))
         .withColumn("amount", amount)
         .drop("paid")
     )

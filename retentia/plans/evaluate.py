@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from retentia import schema as S
 from retentia.functions.exact import share
-from retentia.operators.running import CUTS, running_counts
+from retentia.operators.running import running_counts
 
 
 CELLS = {
@@ -69,7 +69,7 @@ def classification_report(scores: DataFrame) -> DataFrame:
     ))
 
 
-def roc_auc(scores: DataFrame, cuts: int = CUTS) -> DataFrame:
+def roc_auc(scores: DataFrame, cuts: int | None = None) -> DataFrame:
     """Area under the ROC curve, ties counted half; null with one class only.
 
     Twice the area is a sum of whole numbers, so the result does not depend on
@@ -81,7 +81,7 @@ def roc_auc(scores: DataFrame, cuts: int = CUTS) -> DataFrame:
     return runs.agg(share(f"sum({twice})", f"max({pairs})").alias("roc_auc"))
 
 
-def roc_curve(scores: DataFrame, cuts: int = CUTS, drop_collinear: bool = False) -> DataFrame:
+def roc_curve(scores: DataFrame, cuts: int | None = None, drop_collinear: bool = False) -> DataFrame:
     """threshold, fpr, tpr for every distinct score, and the start (null, 0, 0).
 
     With `drop_collinear`, a point whose next step equals its own step lies on a

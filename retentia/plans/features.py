@@ -5,14 +5,13 @@ from dataclasses import dataclass, field
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import (
-    ElementwiseProduct, SQLTransformer, StandardScaler, StringIndexer, VectorAssembler,
+    ElementwiseProduct, Imputer, SQLTransformer, StandardScaler, StringIndexer, VectorAssembler,
 )
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame, functions as F
 
 from retentia import schema as S
 
-MAX_CLASSES = 10_000  # the classes of a column are kept on the driver
 CODE = "_code"
 
 
@@ -35,15 +34,6 @@ def training_columns(df: DataFrame, features: FeatureSet) -> DataFrame:
     return df.select(features.key, *features.names, features.label)
 
 
-def _check_classes(df: DataFrame, categories) -> None:
-    if not categories:
-        return
-    row = df.agg(*[F.approx_count_distinct(c).alias(c) for c in categories]).first()
-    wide = [c for c in categories if row[c] > MAX_CLASSES]
-    if wide:
-        raise ValueError(f"too many distinct values to encode as categories: {wide}")
-
-
 def _text_stage(categories) -> SQLTransformer:
     """Nulls become a class of their own, as text 'None'."""
     texts = ", ".join(f"coalesce(cast(`{c}` AS string), 'None') AS `{c}{CODE}_text`" for c in categories)
@@ -69,7 +59,6 @@ def fit_encoder(df: DataFrame, categories, strict: bool = False) -> PipelineMode
     Values not seen in fitting become 0, or fail the job when `strict`.
     """
     categories = list(categories)
-    _check_classes(df, categories)
     text = _text_stage(categories)
     indexer = StringIndexer(
         inputCols=[f"{c}{CODE}_text" for c in categories],
@@ -91,10 +80,15 @@ def fit_scaler(df: DataFrame, columns) -> PipelineModel:
     """(x - mean) / population deviation of `columns`, as vector `features`.
 
     Spark divides by the sample deviation; the last stage corrects that.  A
-    constant column gives 0.
+    constant column gives 0.  Nulls and NaN take the mean of the fitted rows, so
+    they become 0 and neither fail the fit nor a later batch or stream.
     """
+    numbers = ", ".join(f"CAST(`{c}` AS double) AS `{c}_number`" for c in columns)
     steps = Pipeline(stages=[
-        VectorAssembler(inputCols=list(columns), outputCol="_inputs"),
+        SQLTransformer(statement=f"SELECT *, {numbers} FROM __THIS__"),
+        Imputer(strategy="mean", inputCols=[f"{c}_number" for c in columns],
+                outputCols=[f"{c}_filled" for c in columns]),
+        VectorAssembler(inputCols=[f"{c}_filled" for c in columns], outputCol="_inputs"),
         StandardScaler(inputCol="_inputs", outputCol="_scaled", withMean=True, withStd=True),
     ]).fit(df)
     n = df.count()

@@ -7,6 +7,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from retentia.plans import train
 
 DATA = "/root/testdata/sf0.001"
 QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
@@ -47,5 +48,5 @@ def test_entry_has_rows(spark):
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_other_queries_have_rows(spark, name, monkeypatch):
-    monkeypatch.setattr(entry, "ROUNDS", 3)
+    monkeypatch.setattr(entry, "SETTINGS", train.BoosterSettings(rounds=3))
     assert QUERIES[name](spark, DATA).count() > 0

@@ -30,6 +30,12 @@ def test_money_ignores_null_and_nan(spark):
     assert rows(df.where("m > 5 and m < 6").agg(money_sum("m"), money_avg("m"))) == [(None, None)]
 
 
+@pytest.mark.parametrize("amount", [1e18, float("inf")])
+def test_money_that_does_not_fit_is_an_error(spark, amount):
+    with pytest.raises(Exception, match="CAST|NUMERIC|overflow"):
+        spark.createDataFrame([(amount,), (5.0,)], "m double").agg(money_sum("m")).collect()
+
+
 def test_cohort_edges(spark):
     months = [0, 1, 12, 13, 24, 25, 48, 49, -1, None]
     df = spark.createDataFrame([(m,) for m in months], "t int").select(tenure_cohort(F.col("t")))

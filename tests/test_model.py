@@ -58,10 +58,18 @@ def test_unseen_class_is_zero_or_an_error(spark):
         features.encode(new, strict, ["k"]).collect()
 
 
-def test_wide_categories_are_refused(spark, monkeypatch):
-    monkeypatch.setattr(features, "MAX_CLASSES", 10)
-    with pytest.raises(ValueError, match="too many"):
-        features.fit_encoder(spark.range(100).selectExpr("cast(id as string) k"), ["k"])
+def test_categories_have_no_upper_number(spark):
+    wide = spark.range(10_001).selectExpr("lpad(cast(id as string), 5, '0') k")
+    coded = features.encode(wide, features.fit_encoder(wide, ["k"]), ["k"])
+    assert rows(coded.agg({"k": "max"})) == [(10_000,)] and coded.distinct().count() == 10_001
+
+
+def test_missing_numbers_take_the_mean(spark):
+    seen = spark.createDataFrame([(1, 5.0), (3, None), (None, float("nan"))], "x int, y double")
+    scaler = features.fit_scaler(seen, ["x", "y"])
+    new = spark.createDataFrame([(None, None), (2, 5.0)], "x int, y double")
+    got = scaler.transform(new).select(vector_to_array("features")).collect()
+    assert [list(r[0]) for r in got] == [[0.0, 0.0], [0.0, 0.0]]
 
 
 def test_scaling_uses_the_population_deviation(spark):
