@@ -153,11 +153,15 @@ def train_dictionary(pages: DataFrame, key="page_id", body="html") -> bytes:
     """
     import zstandard
 
-    sample = [
-        bytes(r[0]) for r in pages.where(F.octet_length(body) > 0)
-        .orderBy(F.xxhash64(key), key).limit(DICTIONARY_PAGES)
-        .select(F.substring(F.col(body), 1, 20_000).cast("binary")).collect()
-    ]
+    filled = pages.where((F.octet_length(body) > 0) & F.col(key).isNotNull())
+    # Narrow rows find the keys; only the bodies of those few travel.
+    keys = (
+        filled.select(key).distinct().orderBy(F.xxhash64(key), key).limit(DICTIONARY_PAGES)
+    )
+    excerpts = filled.join(F.broadcast(keys), key, "left_semi").groupBy(key).agg(
+        F.min(F.substring(F.col(body), 1, 20_000)).alias("excerpt")
+    )
+    sample = [r["excerpt"].encode() for r in sorted(excerpts.collect(), key=lambda r: r[key])]
     if len(sample) < 8:
         return b""
     try:
