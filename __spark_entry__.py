@@ -8,7 +8,7 @@ import sys
 from collections.abc import Callable
 
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
@@ -175,10 +175,11 @@ def threshold_classes(spark, sf):
     return _rule_scores(spark, sf).select("customerID", "score", "pred")
 
 
-def advice(spark, sf):
+def advice(spark, sf, scale=1):
     """One row per customer and piece of advice.
 
-    Segment, region and priority stand for the values the rules look for.
+    Segment, region and priority stand for the values the rules look for.  Charges
+    are divided by `scale`, so that not all of them are high.
     """
     def named(column, value, name):
         return F.when(F.col(column) == value, name).otherwise(F.col(column))
@@ -187,6 +188,7 @@ def advice(spark, sf):
         "Contract": named("Contract", "BUILDING", "Month-to-month"),
         "InternetService": named("InternetService", "EUROPE", "Fiber optic"),
         "PaymentMethod": named("PaymentMethod", "1-URGENT", "Electronic check"),
+        "MonthlyCharges": F.col("MonthlyCharges") / scale,
     })
     score_ = F.greatest(F.lit(0), 100 - F.col("tenure")) / F.lit(100.0)
     return people.select("customerID", F.posexplode(recommendations(score_)).alias("position", "advice"))
@@ -301,6 +303,155 @@ def score_stream(spark, sf):
     return spark.read.parquet(out)
 
 
+# -- what must hold between model results, row by row --------------------------
+
+def _probabilities(spark, sf):
+    model, rows = _for_scoring(spark, sf)
+    return model, rows, train.predict_proba(model, rows).select("customerID", "score")
+
+
+def attributions_add_up(spark, sf):
+    """Stored attributions and the base add up to each customer's log-odds."""
+    model, rows, scores = _probabilities(spark, sf)
+    folder = new_folder(spark, "attributions")
+    explain.write_attributions(
+        explain.attribution(model, rows, FEATURES.names), FEATURES.names, folder
+    )
+    base = explain.base_value(explain.leaves(*explain.tree_nodes(spark, model)))
+    total = spark.read.parquet(folder).groupBy("customerID").agg(
+        F.count("*").alias("features"), F.sum("phi").alias("phi")
+    )
+    odds = F.log(F.col("score") / (1 - F.col("score")))
+    return total.join(scores, "customerID").select(
+        "customerID", "features", (F.abs(F.col("phi") + base - odds) < 1e-6).alias("adds_up")
+    )
+
+
+def predictions_follow(spark, sf):
+    """Class, band and rounded probability follow from the score; the advice in full."""
+    model, rows, scores = _probabilities(spark, sf)
+    score_ = F.col("score")
+    return score.score_customers(model, rows).join(scores, "customerID").select(
+        "customerID",
+        (F.abs(F.col("churn_probability") - score_) <= 0.00005 + 1e-9).alias("rounded"),
+        (F.col("churn_prediction") == F.when(score_ >= 0.5, 1).otherwise(0)).alias("class_follows"),
+        (F.col("risk_level") == F.when(score_ >= 0.7, "HIGH").when(score_ >= 0.4, "MEDIUM")
+         .otherwise("LOW")).alias("band_follows"),
+        F.array_join("recommendations", " | ").alias("advice"),
+    )
+
+
+def reloaded_agrees(spark, sf):
+    """Probabilities of the saved and reloaded model equal those of the fitted one."""
+    model, rows, scores = _probabilities(spark, sf)
+    folder = new_folder(spark, "model")
+    train.save_model(model, folder)
+    again = train.predict_proba(train.load_model(spark, folder), rows, "again")
+    return again.select("customerID", "again").join(scores, "customerID").select(
+        "customerID", (F.abs(F.col("again") - F.col("score")) < 1e-12).alias("same")
+    )
+
+
+def loss_rounds(spark, sf):
+    """A loss for each round; the last is the log-loss of the final scores."""
+    model, holdout = _fitted(spark, sf)
+    final = evaluate.log_loss(train.score_table(model, holdout, FEATURES)).scalar()
+    return train.holdout_loss(model, holdout, FEATURES).select(
+        "round", (F.col("log_loss") > 0).alias("positive"),
+        F.when(F.col("round") == SETTINGS.rounds, F.abs(F.col("log_loss") - final) < 1e-6)
+        .alias("final_agrees"),
+    )
+
+
+def gains_sum_to_one(spark, sf):
+    gains = stage(gain_importance(spark, sf), "gains")
+    total = gains.agg(F.sum("importance")).scalar()
+    return gains.select("feature", "method", (F.abs(total - 1) < 1e-9).alias("sums_to_one"))
+
+
+def importance_ranks(spark, sf):
+    """The stored list's leading five are the features with the largest importance."""
+    full = stage(feature_importance(spark, sf), "importance")
+    folder = new_folder(spark, "importance")
+    explain.write_importance(full, folder)
+    top = sampling.top_features(explain.read_importance(spark, folder), 5)
+    order = Window.orderBy(F.desc("importance"), "feature")  # one row per feature
+    ranked = full.select(
+        F.col("feature"), F.col("importance").alias("whole"), F.row_number().over(order).alias("rank")
+    )
+    return top.join(ranked, "feature").where(F.abs(F.col("importance") - F.col("whole")) < 1e-12).select("rank")
+
+
+def importance_sample(spark, sf):
+    """The training rows that the sampled importance looks at."""
+    return sampling.fixed_size_sample(_training_rows(spark, sf), 500).select("customerID")
+
+
+def evaluation_support(spark, sf):
+    return model_evaluation(spark, sf).where("metric LIKE '%support'")
+
+
+def request_chain(spark, sf):
+    """Requests, one kind unreadable and one left open, filled and scored as a stream.
+
+    A customer with a single order asks with a tenure of 'n/a', one with two orders
+    names no total.  Each record is scored once, as the batch scores it.
+    """
+    model, rows = _for_scoring(spark, sf)
+    defaults = {"SeniorCitizen": 0, "tenure": 12, "MonthlyCharges": 65.0, "TotalCharges": 780.0,
+                "n_orders": 1, "recency": 0, "InternetService": "EUROPE", "Contract": "BUILDING",
+                "PaymentMethod": "1-URGENT"}
+    asked = rows.withColumns({
+        "tenure": F.when(F.col("n_orders") == 1, "n/a").otherwise(F.col("tenure").cast("string")),
+        "TotalCharges": F.when(F.col("n_orders") != 2, F.col("TotalCharges")),
+    }).select("customerID", *FEATURES.names)
+    arrived, out, log = (new_folder(spark, n) for n in ("arrived", "scored", "progress"))
+    asked.write.parquet(arrived)
+
+    def filled(records):
+        return requests.score_requests(records, True, defaults, rejected="rejected")
+
+    stream = filled(scoring.record_stream(spark, arrived, asked.schema))
+    keep = ("customerID", "rejected")
+    scoring.score_stream(model, stream, out, log, keep).awaitTermination()
+    batch = score.score_customers(model, filled(spark.read.parquet(arrived)), keep).select(
+        "customerID", F.col("churn_probability").alias("expected")
+    )
+    return spark.read.parquet(out).join(batch, "customerID").groupBy("customerID", "rejected").agg(
+        F.count("*").alias("n"),
+        F.bool_and(F.col("churn_probability") == F.col("expected")).alias("same"),
+    )
+
+
+# -- inputs that reach every branch --------------------------------------------
+
+def clean_blanks(spark, sf):
+    """Cleaning where the totals of new customers are blank."""
+    raw = orders.raw_customers(orders.load(spark, sf))
+    blank = F.when(F.col("tenure") < 12, " ").otherwise(F.col("TotalCharges"))
+    return clean_customers(raw.withColumn("TotalCharges", blank)).select("customerID", "TotalCharges")
+
+
+def label_encode_unseen(spark, sf):
+    """Contracts coded by an encoder that has not seen one of them."""
+    people = _customers(spark, sf).select("customerID", "Contract")
+    encoder = features.fit_encoder(people.where("Contract <> 'BUILDING'"), ["Contract"])
+    return features.encode(people, encoder, ["Contract"])
+
+
+def request_rejections(spark, sf):
+    """Requests with unreadable tenures and without totals."""
+    people = orders.raw_customers(orders.load(spark, sf), ("customerID", "tenure", "MonthlyCharges", "TotalCharges"))
+    asked = people.select(
+        "customerID", "MonthlyCharges",
+        F.when(F.col("tenure") < 12, "twelve").otherwise(F.col("tenure").cast("string")).alias("tenure"),
+        F.when(F.col("tenure") <= 60, coerce_numeric(F.col("TotalCharges"))).alias("TotalCharges"),
+    )
+    return requests.score_requests(asked, total_from_tenure=True, rejected="rejected").select(
+        "customerID", "rejected", "tenure", "MonthlyCharges", "TotalCharges"
+    )
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """Flagship query: churn by contract on the smallest data."""
     source = orders.load(spark, "/root/testdata/sf0.001")
@@ -371,6 +522,24 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "gain_importance": gain_importance,
         "top_features": top_features,
         "score_stream": score_stream,
+        "attributions_add_up": attributions_add_up,
+        "predictions_follow": predictions_follow,
+        "reloaded_agrees": reloaded_agrees,
+        "loss_rounds": loss_rounds,
+        "gains_sum_to_one": gains_sum_to_one,
+        "importance_ranks": importance_ranks,
+        "importance_sample": importance_sample,
+        "evaluation_support": evaluation_support,
+        "request_chain": request_chain,
+        "clean_blanks": clean_blanks,
+        "label_encode_unseen": label_encode_unseen,
+        "request_rejections": request_rejections,
+        "sample_transactions": lambda s, sf: sampling.fixed_size_sample(
+            _stored(s, sf)["transactions"], 1500, "transaction_id"
+        ).select("transaction_id", "customerID"),
+        "recommendations_scaled": lambda s, sf: advice(s, sf, 100),
+        "stored_customers": _customers,
+        "stored_transactions": lambda s, sf: _stored(s, sf)["transactions"],
         **(llm.QUERIES if llm else {}),
         **({"pipeline": corpus_pipeline.run} if corpus_pipeline else {}),
     }

@@ -414,3 +414,73 @@ fired AS (
 SELECT customerID, CAST(i AS INTEGER) AS position, texts[i + 1] AS advice
 FROM (SELECT customerID, texts, unnest(range(0, len(texts))) AS i FROM listed)""",
 }
+
+_MODEL_FEATURES = ("['SeniorCitizen', 'tenure', 'MonthlyCharges', 'TotalCharges', 'n_orders', 'recency', "
+                   "'InternetService', 'Contract', 'PaymentMethod']")
+
+_SPLIT = f"""{_TRAINING},
+split AS (
+  SELECT customerID, Churn, CAST(rn <= ceil(0.2 * n) AS INTEGER) AS is_test
+  FROM (SELECT customerID, Churn, count(*) OVER (PARTITION BY Churn) AS n,
+               row_number() OVER (PARTITION BY Churn
+                                  ORDER BY md5('42:' || customerID), customerID) AS rn
+        FROM base)
+)"""
+
+# What must hold between the results of a fitted model, and inputs for rarer branches.
+ORACLES |= {
+    "attributions_add_up": f"""WITH {_TRAINING}
+SELECT customerID, CAST(len({_MODEL_FEATURES}) AS BIGINT) AS features, true AS adds_up FROM base""",
+    "predictions_follow": f"""WITH {_TRAINING},
+charged AS (SELECT *, {_cent_avg('cents', 'greatest(tenure, 1)')} AS MonthlyCharges FROM base)
+SELECT customerID, true AS rounded, true AS class_follows, true AS band_follows,
+       CASE WHEN tenure >= 12 AND MonthlyCharges <= 80
+            THEN 'Customer appears stable. Maintain regular engagement touchpoints.'
+            ELSE concat_ws(' | ',
+              CASE WHEN tenure < 12
+                   THEN 'New customer — enroll in an onboarding rewards program immediately.' END,
+              CASE WHEN MonthlyCharges > 80
+                   THEN 'High spender — offer a bundled plan to improve perceived value.' END)
+       END AS advice
+FROM charged""",
+    "reloaded_agrees": f"WITH {_TRAINING} SELECT customerID, true AS same FROM base",
+    "loss_rounds": """
+SELECT CAST(r AS INTEGER) AS round, true AS positive, CASE WHEN r = 300 THEN true END AS final_agrees
+FROM range(1, 301) t(r)""",
+    "gains_sum_to_one": f"""
+SELECT unnest({_MODEL_FEATURES}) AS feature, 'gain' AS method, true AS sums_to_one""",
+    "importance_ranks": "SELECT CAST(r AS INTEGER) AS rank FROM range(1, 6) t(r)",
+    "importance_sample": f"""WITH {_SPLIT}
+SELECT customerID FROM split WHERE is_test = 0
+ORDER BY md5('42:' || customerID), customerID LIMIT 500""",
+    "evaluation_support": f"""WITH {_SPLIT},
+sizes AS (SELECT CAST(count(*) FILTER (Churn = 0) AS DOUBLE) AS stayed,
+                 CAST(count(*) FILTER (Churn = 1) AS DOUBLE) AS left_ FROM split WHERE is_test = 1)
+SELECT 'Retained support' AS metric, stayed AS value FROM sizes
+UNION ALL SELECT 'Churned support', left_ FROM sizes
+UNION ALL SELECT 'macro avg support', stayed + left_ FROM sizes
+UNION ALL SELECT 'weighted avg support', stayed + left_ FROM sizes""",
+    "request_chain": f"""WITH {_TRAINING}
+SELECT customerID, n_orders = 1 AS rejected, CAST(1 AS BIGINT) AS n, true AS same FROM base""",
+    "clean_blanks": _on_customers("SELECT customerID, TotalCharges FROM cust WHERE tenure >= 12"),
+    "label_encode_unseen": _on_customers("""
+SELECT customerID, CAST(coalesce(code, 0) AS INTEGER) AS Contract
+FROM cust LEFT JOIN (
+  SELECT Contract AS seen, row_number() OVER (ORDER BY Contract) - 1 AS code
+  FROM (SELECT DISTINCT Contract FROM cust WHERE Contract <> 'BUILDING')
+) ON Contract = seen"""),
+    "request_rejections": _on_customers("""
+SELECT customerID, tenure < 12 AS rejected, CASE WHEN tenure < 12 THEN 12 ELSE tenure END AS tenure,
+       MonthlyCharges,
+       CASE WHEN tenure > 60 OR trim(TotalText) = ''
+            THEN (CASE WHEN tenure < 12 THEN 12 ELSE tenure END) * MonthlyCharges
+            ELSE CAST(TotalText AS DOUBLE) END AS TotalCharges
+FROM (SELECT * REPLACE (nullif(TotalText, '') AS TotalText) FROM rawc)"""),
+    "sample_transactions": _on_tables("""
+SELECT transaction_id, customerID FROM tx
+ORDER BY md5('42:' || transaction_id), transaction_id LIMIT 1500"""),
+    "recommendations_scaled": ORACLES["recommendations"].replace(
+        "MonthlyCharges > 80", "MonthlyCharges / 100 > 80"),
+    "stored_customers": ORACLES["customers"],
+    "stored_transactions": ORACLES["transactions"],
+}

@@ -46,14 +46,20 @@ def histogram_by_class(
 ) -> DataFrame:
     """Counts per class and bin of equal width between the smallest and largest value.
 
-    The largest value belongs to the last bin.  Only bins with rows are listed;
-    one aggregate pass for the bounds, one for the counts.
+    The largest value belongs to the last bin.  The bounds are those of the finite
+    values; infinities count in the first or last bin.  Only bins with rows are
+    listed; one aggregate pass for the bounds, one for the counts.
     """
     known = customers.where(F.col(value).isNotNull() & ~F.isnan(value))
     low, high = F.col("_b.low"), F.col("_b.high")
-    bounds = known.agg(F.struct(F.min(value).alias("low"), F.max(value).alias("high"))).scalar()
+    finite = F.when(F.abs(value) < float("inf"), F.col(value))
+    bounds = known.agg(F.struct(F.min(finite).alias("low"), F.max(finite).alias("high"))).scalar()
     width = (high - low) / F.lit(float(bins))
-    place = F.floor(F.try_divide(F.col(value) - low, width))
+    place = (
+        F.when(F.col(value) == float("inf"), F.lit(bins - 1))
+        .when(F.col(value) == float("-inf"), F.lit(0))
+        .otherwise(F.floor(F.try_divide(F.col(value) - low, width)))
+    )
     return (
         known.withColumn("_b", bounds)
         .select(

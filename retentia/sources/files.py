@@ -1,7 +1,7 @@
 """Customer CSV in, tables out and back in."""
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from retentia import schema as S
 from retentia.operators.clean import clean_customers
@@ -12,10 +12,12 @@ def csv_scan(spark: SparkSession, path: str, schema=S.RAW_CUSTOMERS) -> DataFram
     """Customer CSV with a header, TotalCharges and Churn left as text.
 
     Columns are matched by name, as files may hold more of them and in another
-    order; a missing path raises PATH_NOT_FOUND right here, before any job.
-    Columns beyond `schema` are kept as text.
+    order than `schema`; a missing path raises PATH_NOT_FOUND right here, before any
+    job.  Columns beyond `schema` are kept as text.  All files of one path must have
+    the same header: reading one that differs fails, as its values would land in the
+    wrong columns; scan it by itself and union by name.
     """
-    raw = spark.read.csv(path, header=True)
+    raw = spark.read.csv(path, header=True, enforceSchema=False)
     known = {f.name: f.dataType for f in schema.fields}
     return raw.select(
         *[F.col(f"`{c}`").cast(known[c]).alias(c) if c in known else F.col(f"`{c}`")
@@ -97,13 +99,21 @@ def write_bucketed(df: DataFrame, table: str, path: str, buckets: int) -> None:
 
 
 def read_tables(spark: SparkSession, path: str, names=S.TABLES, schemas=None) -> dict:
-    """Stored tables; a known schema saves looking it up in the files."""
+    """Stored tables; a known schema saves looking it up in the files.
+
+    Without one the columns come from the files, but the contract, which stands in
+    the directory names, is text whatever it looks like.  As directory names have no
+    empty value, an empty contract comes back as null.
+    """
     found = {}
     for name in names:
-        reader = spark.read
-        if schemas and name in schemas:
-            reader = reader.schema(schemas[name])
-        found[name] = reader.parquet(f"{path}/{name}")
+        schema = (schemas or {}).get(name)
+        if schema is None:
+            fields = spark.read.parquet(f"{path}/{name}").schema.fields
+            schema = T.StructType([
+                T.StructField("Contract", T.StringType()) if f.name == "Contract" else f for f in fields
+            ])
+        found[name] = spark.read.schema(schema).parquet(f"{path}/{name}")
     return found
 
 

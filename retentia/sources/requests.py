@@ -1,22 +1,44 @@
 """Scoring requests: records in which any field may be left out."""
 
-from pyspark.sql import DataFrame, functions as F
+import functools
+
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from retentia import schema as S
 from retentia.functions.bands import yes_flag
 
 
 def score_requests(
-    records: DataFrame, total_from_tenure: bool = False, defaults: dict = S.REQUEST_DEFAULTS
+    records: DataFrame, total_from_tenure: bool = False, defaults: dict = S.REQUEST_DEFAULTS,
+    rejected: str | None = None,
 ) -> DataFrame:
     """Records with every feature present, typed and in feature order.
 
     Missing columns and nulls take the default.  With `total_from_tenure` a
     missing TotalCharges becomes tenure * MonthlyCharges instead, and a textual
     SeniorCitizen (Yes/No) becomes 1/0.  Other columns, such as the key, stay.
+
+    A value that its feature's type cannot hold, such as a tenure of 'twelve',
+    fails the job.  With `rejected`, the name of a column to add, it only marks
+    its record: true there, and the default in the value's place.  Features that
+    `schema` does not know have the type of their default.
     """
-    kinds = {f.name: f.dataType for f in S.CUSTOMERS.fields}
+    kinds = {n: T.DoubleType() if isinstance(d, float) else T.IntegerType() if isinstance(d, int)
+             else T.StringType() for n, d in defaults.items()}
+    kinds |= {f.name: f.dataType for f in S.CUSTOMERS.fields}
     types = dict(records.dtypes)
+    if rejected:
+        text_flag = types.get("SeniorCitizen") == "string"
+        given = [n for n in defaults if n in types and not (text_flag and n == "SeniorCitizen")]
+        read = {n: F.col(n).try_cast(kinds[n]) for n in given}
+        bad = [F.col(n).isNotNull() & read[n].isNull() for n in given]
+        if text_flag:
+            flags = F.lower(F.trim("SeniorCitizen")).isin("yes", "no")
+            bad.append(F.col("SeniorCitizen").isNotNull() & ~flags
+                       & F.col("SeniorCitizen").try_cast("int").isNull())
+        marked = functools.reduce(lambda x, y: x | y, bad, F.lit(False))
+        records = records.select("*", marked.alias(rejected)).withColumns(read)
+        return score_requests(records, total_from_tenure, defaults)
 
     def filled(name):
         if name not in types:
@@ -35,4 +57,5 @@ def score_requests(
         )
     others = [c for c in records.columns if c not in features]
     order = [c for c in S.NUMERIC_FEATURES + S.CATEGORY_FEATURES if c in features]
+    order += [c for c in features if c not in order]
     return records.select(*others, *[features[c].alias(c) for c in order])

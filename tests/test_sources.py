@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from conftest import customer, rows
 from retentia import schema as S
-from retentia.plans import catalog, reports
+from retentia.plans import catalog, eda, reports
 from retentia.sources import files, staging
 from retentia.sources.requests import score_requests
 
@@ -106,6 +106,41 @@ def test_requests_total_from_tenure_and_text_flag(spark):
     assert got == {"a": (60.0, 1), "b": (7.0, 0), "c": (1.0, 0), "d": (1.0, 1)}
 
 
+def test_unreadable_requests_are_marked(spark):
+    asked = spark.createDataFrame(
+        [("a", "twelve", "Yes"), ("b", "7", "maybe"), ("c", None, None), ("d", "8", "1")],
+        "customerID string, tenure string, SeniorCitizen string")
+    got = {r.customerID: (r.rejected, r.tenure, r.SeniorCitizen)
+           for r in score_requests(asked, rejected="rejected").collect()}
+    assert got == {"a": (True, 12, 1), "b": (True, 7, 0), "c": (False, 12, 0), "d": (False, 8, 1)}
+    with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
+        score_requests(asked).collect()
+
+
+def test_csv_files_with_differing_headers_are_refused(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("customerID,SeniorCitizen,tenure\na,1,60\n")
+    (tmp_path / "b.csv").write_text("customerID,SeniorCitizen,tenure\nb,0,5\n")
+    got = files.csv_scan(spark, str(tmp_path)).select("customerID", "SeniorCitizen", "tenure")
+    assert sorted(rows(got)) == [("a", 1, 60), ("b", 0, 5)]
+    (tmp_path / "c.csv").write_text("customerID,tenure,SeniorCitizen\nc,60,1\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        files.csv_scan(spark, str(tmp_path)).collect()
+
+
+def test_contracts_that_look_like_numbers_stay_text(spark, make, tmp_path):
+    people = make.customers([customer("a", "1"), customer("b", "02"), customer("c", None)])
+    files.write_tables({"customers": people}, str(tmp_path))
+    stored = files.read_tables(spark, str(tmp_path), ["customers"])["customers"]
+    assert dict(stored.dtypes)["Contract"] == "string"
+    assert {(r.customerID, r.Contract) for r in stored.collect()} == {("a", "1"), ("b", "02"), ("c", None)}
+
+
+def test_infinite_charges_do_not_move_the_bins(make):
+    charges = [10.0, 20.0, 30.0, float("inf"), float("-inf")]
+    people = make.customers([customer(str(i), charge=c) for i, c in enumerate(charges)])
+    assert sorted(rows(eda.histogram_by_class(people, bins=2))) == [("Retained", 0, 2), ("Retained", 1, 3)]
+
+
 def test_named_queries_run_over_stored_tables(spark, inputs, tmp_path):
     tables = files.build_tables(*inputs, str(tmp_path))
     assert len(catalog.NAMED) == 10
