@@ -35,8 +35,9 @@ def _optional(name):
         raise
 
 
-# Queries for training data, where their subpackage and pipeline are present.
-llm, corpus_pipeline = _optional("retentia.llm.registry"), _optional("corpus_pipeline")
+# Queries for training data, where their subpackage and the pipeline built on it are present.
+llm = _optional("retentia.llm.registry")
+corpus_pipeline = _optional("corpus_pipeline") if llm else None
 
 FEATURES = features.FeatureSet(
     numbers=tuple(orders.TRAINING_NUMBERS), categories=tuple(orders.TRAINING_CATEGORIES)

@@ -42,4 +42,17 @@ def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     spark = df.sparkSession
     folder = new_folder(spark, name)
     df.write.parquet(folder)
-    return spark.read.schema(df.schema).parquet(folder)
+    staged = spark.read.schema(df.schema).parquet(folder)
+    staged.staged_in = folder
+    return staged
+
+
+def discard(spark: SparkSession, folder: str) -> None:
+    """Delete a folder, wherever it is stored; one that is gone already is no error."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def release(df: DataFrame) -> None:
+    """Delete the table behind a frame that `stage` returned; nothing may read it any more."""
+    discard(df.sparkSession, df.staged_in)
