@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from retentia.sources.staging import stage
+from retentia.sources.staging import release, stage
 
 # Words are runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -13,6 +13,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def stage_and_release(df: DataFrame, previous: DataFrame, name: str) -> DataFrame:
+    """`df` staged; then the staged frame `previous`, which `df` was made from, is deleted."""
+    staged = stage(df, name)
+    release(previous)
+    return staged
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

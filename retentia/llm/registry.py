@@ -2,7 +2,9 @@
 
 from pyspark.sql import functions as F
 
-from retentia.llm import covertree, hamming, jaccard, langid, lattice, licenses, mixing, pieces, sharding, warc
+from retentia.llm import (
+    centroids, covertree, hamming, jaccard, langid, lattice, licenses, mixing, passages, pieces, ranked, sharding, warc,
+)
 from retentia.llm.common import table
 from retentia.sources.staging import new_folder, stage
 
@@ -85,15 +87,31 @@ def op10_warc_roundtrip(spark, sf):
     )
 
 
+def op11_centroid_clusters(spark, sf):
+    return centroids.digest(centroids.cluster(table(spark, sf, "embeddings")))
+
+
+def op12_passage_dedup(spark, sf):
+    found = passages.remove_repeats(table(spark, sf, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op13_ranked_documents(spark, sf):
+    return ranked.top_documents(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
 QUERIES = {
     f.__name__: f for f in (
         op1_cover_tree_neardup, op2_piece_roundtrip, op3_lattice_scores, op4_license_scan,
         op5_hamming_topk, op6_language, op7_jaccard_join, op8_hilbert_shards, op9_systematic_mix,
-        op10_warc_roundtrip,
+        op10_warc_roundtrip, op11_centroid_clusters, op12_passage_dedup, op13_ranked_documents,
     )
 }
 
 SQL = {
     "op4_license_scan": licenses.oracle_sql(),
     "op5_hamming_topk": hamming.oracle_sql(CODE_BITS),
+    "op11_centroid_clusters": centroids.oracle_sql(),
+    "op12_passage_dedup": passages.oracle_sql(),
+    "op13_ranked_documents": ranked.oracle_sql(),
 }
