@@ -5,6 +5,7 @@ cuts the lineage, outlives lost executors and is read column by column.
 """
 
 import functools
+import gc
 import tempfile
 import uuid
 
@@ -56,3 +57,14 @@ def discard(spark: SparkSession, folder: str) -> None:
 def release(df: DataFrame) -> None:
     """Delete the table behind a frame that `stage` returned; nothing may read it any more."""
     discard(df.sparkSession, df.staged_in)
+
+
+def forget_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished jobs now.
+
+    It does so when their frames are garbage on the driver, whose large heap may not be
+    collected for long; between the phases of a large job that would keep the files
+    of all phases on the executors' disks.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
