@@ -10,11 +10,11 @@ reports the windows that occur earlier.
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from retentia.llm.common import partitions
 from retentia.llm.fmindex import FMIndex
+from retentia.sources.staging import forget_shuffles, release, stage
 
 WINDOW = 20
 GRAM = 5
@@ -33,78 +33,111 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-class Cutter:
-    """Cuts texts into words and passages; remembers the hashes of common words."""
+def _spaces() -> np.ndarray:
+    table = np.zeros(256, dtype=bool)
+    table[[0x20, *range(0x09, 0x0E)]] = True
+    return table
 
-    def __init__(self, window: int, gram: int):
-        self.window, self.gram, self.known = window, gram, {}
 
-    def _hashes(self, words: list) -> np.ndarray:
-        if len(self.known) > 1 << 20:
-            self.known.clear()
-        known = self.known
-        for word in set(words).difference(known):
-            known[word] = xxhash.xxh64_intdigest(word)
-        return np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))
+_SPACE = _spaces()
+
+
+def _word_hashes(data: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Hashes of words, eight bytes at a time; they only say where passages are sent."""
+    padded = np.concatenate([data, np.zeros(8, dtype=np.uint8)])
+    lanes = np.ndarray(buffer=padded, dtype="<u8", shape=(len(data) + 1,), strides=(1,))
+    h = size.astype(np.uint64) * _INNER
+    todo, done = np.arange(len(first)), 0
+    while len(todo):
+        left = size[todo] - done
+        lane = lanes[first[todo] + done]
+        short = left < 8
+        lane[short] &= (np.uint64(1) << (8 * left[short]).astype(np.uint64)) - np.uint64(1)
+        h[todo] = _mixed((h[todo] ^ lane) * _OUTER)
+        todo, done = todo[left > 8], done + 8
+    return h
+
+
+def _grams(h: np.ndarray, size: int) -> np.ndarray:
+    out = np.zeros(max(0, len(h) - size + 1), dtype=np.uint64)
+    for j in range(size):
+        out = out * _OUTER + h[j:j + len(out)]
+    return _mixed(out)
 
-    @staticmethod
-    def _grams(h: np.ndarray, size: int) -> np.ndarray:
-        out = np.zeros(max(0, len(h) - size + 1), dtype=np.uint64)
-        for j in range(size):
-            out = out * _OUTER + h[j:j + len(out)]
-        return _mixed(out)
 
-    def passages(self, texts: list):
-        """Passages of a list of texts in bytes: text number, first word, windows, key, and
-        the words of all texts with the place where each text's begin."""
-        split = [t.split() for t in texts]
-        sizes = np.array([len(s) for s in split], dtype=np.int64)
-        begins = np.concatenate([[0], np.cumsum(sizes)])
-        words = [w for s in split for w in s]
-        nothing = np.zeros(0, dtype=np.int64)
-        if len(words) < self.window:
-            return nothing, nothing, nothing, nothing.view(np.uint64), words, begins
-        h = self._hashes(words)
-        grams = self._grams(h, self.gram)
+class Cut:
+    """The words and passages of the texts `data[bounds[i]:bounds[i + 1]]`, all numbered through.
+
+    first, last: bytes of each word; begins: first word of each text.  Passages: owner
+    (text), at (first word), count (windows), key (hash of the gram they share).
+    """
+
+    def __init__(self, data: np.ndarray, bounds: np.ndarray, window: int, gram: int):
+        self.data, self.window = data, window
+        letter = ~_SPACE[data]
+        opens, closes = letter.copy(), letter.copy()
+        opens[1:] &= ~letter[:-1]
+        closes[:-1] &= ~letter[1:]
+        inner = bounds[(bounds > 0) & (bounds < len(data))]
+        opens[inner] = letter[inner]
+        closes[inner - 1] = letter[inner - 1]
+        self.first, self.last = np.flatnonzero(opens), np.flatnonzero(closes) + 1
+        self.begins = np.searchsorted(self.first, bounds)
+        self.hashes = _word_hashes(data, self.first, self.last - self.first)
+        self._passages(gram)
+
+    def _passages(self, gram):
+        window = self.window
+        n = max(0, len(self.hashes) - window + 1)
+        grams = _grams(self.hashes, gram)
         # Leftmost place of the smallest gram among the first `span` of every window.
-        width, span, place = self.window - self.gram + 1, 1, np.arange(len(grams))
-        while span < width:
+        width, span, place = window - gram + 1, 1, np.arange(len(grams))
+        while span < width and n:
             step = min(span, width - span)
             a, b = place[:len(place) - step], place[step:]
             place = np.where(grams[a] <= grams[b], a, b)
             span += step
-        owner = np.repeat(np.arange(len(texts)), sizes)
-        n = len(place)
-        inside = owner[:n] == owner[self.window - 1:self.window - 1 + n]
-        fresh = inside.copy()
-        fresh[1:] &= (place[1:] != place[:-1]) | ~inside[:-1]
-        first = np.flatnonzero(fresh)
-        # Windows of a passage follow each other; the next passage or the text's end closes it.
-        closes = np.flatnonzero(np.concatenate([fresh[1:] | ~inside[1:], [True]]) & inside)
-        count = closes - first + 1
-        return owner[first], first - begins[owner[first]], count, grams[place[first]], words, begins
-
-    def windows(self, words: list) -> np.ndarray:
-        """Keys of all windows of a list of words."""
-        return ~self._grams(self._hashes(words), self.window)
-
-
-def _chunks(batch, *columns):
-    """Slices of a batch of about CHUNK_BYTES of text each, with the texts as bytes."""
-    low, size, texts = 0, 0, []
-    for i, value in enumerate(batch["text"]):
-        raw = value.as_py()
-        texts.append(raw.encode() if raw else b"")
-        size += len(texts[-1])
-        if size >= CHUNK_BYTES or i + 1 == batch.num_rows:
-            yield texts, *[batch[c].to_numpy(zero_copy_only=False)[low:i + 1] for c in columns]
-            low, size, texts = i + 1, 0, []
+        place = place[:n]
+        owner = np.repeat(np.arange(len(self.begins) - 1), np.diff(self.begins))
+        inside = owner[:n] == owner[window - 1:window - 1 + n]
+        fresh, ends = inside.copy(), inside.copy()
+        moved = place[1:] != place[:-1]
+        fresh[1:] &= moved | ~inside[:-1]
+        ends[:-1] &= moved | ~inside[1:]
+        self.at = np.flatnonzero(fresh)
+        self.count = np.flatnonzero(ends) - self.at + 1
+        self.owner, self.key = owner[self.at], grams[place[self.at]]
+
+    def window_keys(self, at: np.ndarray) -> np.ndarray:
+        """Keys of the windows that start at the words `at`."""
+        out = np.zeros(len(at), dtype=np.uint64)
+        for j in range(self.window):
+            out = out * _INNER + self.hashes[at + j]
+        return _mixed(out)
+
+    def texts(self, at: np.ndarray, count: np.ndarray) -> list:
+        """The bytes from word `at` to the last word of `count` windows."""
+        raw = self.data.tobytes()
+        low, high = self.first[at].tolist(), self.last[at + count + self.window - 2].tolist()
+        return [raw[a:b] for a, b in zip(low, high)]
+
+
+def _chunks(batch):
+    """Slices of a batch of about CHUNK_BYTES of text each: rows from, to, bytes, bounds of the texts."""
+    texts = pc.fill_null(batch["text"], "")
+    bounds = np.frombuffer(texts.buffers()[1], dtype=np.int32)[texts.offset:texts.offset + len(texts) + 1].astype(np.int64)
+    data = np.frombuffer(texts.buffers()[2] or b"", dtype=np.uint8)
+    low = 0
+    while low < len(texts):
+        high = max(low + 1, int(np.searchsorted(bounds, bounds[low] + CHUNK_BYTES, side="right")) - 1)
+        yield low, high, data[bounds[low]:bounds[high]], bounds[low:high + 1] - bounds[low]
+        low = high
 
 
 def _counts(docs: DataFrame, window: int, gram: int) -> DataFrame:
     """(key, n): passages per gram, left out where a gram is alone among LOCAL; null: all passages."""
     def work(batches):
-        cutter, held, size, total = Cutter(window, gram), [], 0, 0
+        held, size, total = [], 0, 0
 
         def counted():
             keys, n = np.unique(np.concatenate(held), return_counts=True)
@@ -114,8 +147,8 @@ def _counts(docs: DataFrame, window: int, gram: int) -> DataFrame:
             )
 
         for batch in batches:
-            for (texts,) in _chunks(batch):
-                held.append(cutter.passages(texts)[3])
+            for _, _, data, bounds in _chunks(batch):
+                held.append(Cut(data, bounds, window, gram).key)
                 size, total = size + len(held[-1]), total + len(held[-1])
                 if size >= LOCAL:
                     yield counted()
@@ -127,51 +160,112 @@ def _counts(docs: DataFrame, window: int, gram: int) -> DataFrame:
     return docs.select("text").mapInArrow(work, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
 
+_PLACE = T.StructType([
+    T.StructField("key", T.LongType()), T.StructField("doc", T.LongType()), T.StructField("version", T.LongType()),
+    T.StructField("start", T.IntegerType()),
+])
+
+
+def _places(docs: DataFrame, window: int, gram: int, hot: np.ndarray) -> DataFrame:
+    """Where the passages of all grams but hot ones start."""
+    def work(batches):
+        for batch in batches:
+            doc, version = (batch[c].to_numpy(zero_copy_only=False) for c in ("doc", "version"))
+            for low, high, data, bounds in _chunks(batch):
+                cut = Cut(data, bounds, window, gram)
+                cool = ~np.isin(cut.key, hot)
+                owner = cut.owner[cool]
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(cut.key[cool].view(np.int64)), pa.array(doc[low:high][owner]),
+                    pa.array(version[low:high][owner]), pa.array((cut.at[cool] - cut.begins[owner]).astype(np.int32)),
+                ], names=_PLACE.names)
+
+    return docs.select("text", "doc", "version").mapInArrow(work, _PLACE)
+
+
+def _shared(batches):
+    """Task over places sorted by key: those whose gram another passage has as well."""
+    last = None
+    names = _PLACE.names[1:]
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        # The last row waits for the next batch, as that may go on with its key.
+        table = pa.Table.from_batches([batch]) if last is None else pa.concat_tables([last, pa.Table.from_batches([batch])])
+        key = table["key"].to_numpy()
+        same = key[1:] == key[:-1]
+        twin = np.concatenate([same, [False]]) | np.concatenate([[False], same])
+        if last is not None:
+            twin[0] |= was
+        was, last = bool(twin[-1]), table.slice(len(key) - 1)
+        for part in table.slice(0, len(key) - 1).filter(pa.array(twin[:-1])).select(names).to_batches():
+            yield part
+    if last is not None and was:
+        yield from last.select(names).to_batches()
+
+
 _PASSAGE = T.StructType([
     T.StructField("key", T.LongType()), T.StructField("words", T.BinaryType()), T.StructField("doc", T.LongType()),
     T.StructField("version", T.LongType()), T.StructField("start", T.IntegerType()), T.StructField("n", T.IntegerType()),
 ])
 
 
-def _passages(docs: DataFrame, window: int, gram: int, hot: np.ndarray, known: dict, only_hot: bool) -> DataFrame:
-    """One row per passage; those of hot grams are cut further, to single windows.
+def _rows(cut, at, count, key, owner, words, doc, version):
+    return pa.RecordBatch.from_arrays([
+        pa.array(key.view(np.int64)), pa.array(words, pa.binary()), pa.array(doc[owner]), pa.array(version[owner]),
+        pa.array((at - cut.begins[owner]).astype(np.int32)), pa.array(count.astype(np.int32)),
+    ], names=_PASSAGE.names)
 
-    Windows in `known` are left out, and with `only_hot` all but the single windows.
-    """
+
+def _hot_windows(cut, hot):
+    """The single windows of a cut's passages with hot grams: first word, text number, words joined by spaces."""
+    split = np.isin(cut.key, hot)
+    at = np.repeat(cut.at[split], cut.count[split]) + _within(cut.count[split])
+    words = [b" ".join(w.split()) for w in cut.texts(at, np.ones(len(at), dtype=np.int64))]
+    return at, np.repeat(cut.owner[split], cut.count[split]), words
+
+
+def _first_places(docs: DataFrame, window: int, gram: int, hot: np.ndarray, bound: int) -> dict:
+    """Windows of hot grams that are as frequent themselves, and where each stands first."""
     def work(batches):
-        cutter = Cutter(window, gram)
         for batch in batches:
-            for texts, docs_, versions in _chunks(batch, "doc", "version"):
-                owner, start, count, key, words, begins = cutter.passages(texts)
-                at = begins[owner] + start
-                if len(hot) and len(key):
-                    split = np.isin(key, hot)
-                    single = np.repeat(at[split], count[split]) + _within(count[split])
-                    from_ = np.repeat(owner[split], count[split])
-                    keep = np.zeros(0, dtype=bool) if only_hot else ~split
-                    new = cutter.windows(words)[single] if len(single) else single.view(np.uint64)
-                    pick = (lambda a: a[:0]) if only_hot else (lambda a: a[keep])
-                    owner, at = np.concatenate([pick(owner), from_]), np.concatenate([pick(at), single])
-                    count = np.concatenate([pick(count), np.ones(len(single), dtype=np.int64)])
-                    key = np.concatenate([pick(key), new])
-                elif only_hot:
-                    continue
-                joined = b" ".join(words)
-                ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1)
-                low = np.concatenate([[0], ends])[at].tolist()
-                high = (ends[at + count + window - 2] - 1).tolist()
-                held = [joined[a:b] for a, b in zip(low, high)]
-                if known:
-                    keep = np.array([w not in known for w in held], dtype=bool)
-                    owner, at, count, key = owner[keep], at[keep], count[keep], key[keep]
-                    held = [w for w, k in zip(held, keep) if k]
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(key.view(np.int64)), pa.array(held, pa.binary()), pa.array(docs_[owner]),
-                    pa.array(versions[owner]), pa.array((at - begins[owner]).astype(np.int32)),
-                    pa.array(count.astype(np.int32)),
-                ], names=_PASSAGE.names)
+            doc, version = (batch[c].to_numpy(zero_copy_only=False) for c in ("doc", "version"))
+            for low, high, data, bounds in _chunks(batch):
+                cut = Cut(data, bounds, window, gram)
+                at, owner, words = _hot_windows(cut, hot)
+                ones = np.ones(len(at), dtype=np.int64)
+                yield _rows(cut, at, ones, cut.window_keys(at), owner, words, doc[low:high], version[low:high])
+
+    found = docs.select("text", "doc", "version").mapInArrow(work, _PASSAGE).groupBy("words").agg(
+        F.count("*").alias("n"), F.min(F.struct("doc", "start")).alias("place")
+    )
+    # All passages have `window - gram + 1` windows at most, so at most HOT_SHARE rows come back.
+    rows = found.where(F.col("n") > bound * (window - gram + 1)).collect()
+    return {bytes(r["words"]): (r["place"]["doc"], r["place"]["start"]) for r in rows}
+
 
-    return docs.select("text", "doc", "version").mapInArrow(work, _PASSAGE)
+def _passages(docs: DataFrame, window: int, gram: int, hot: np.ndarray, known: dict) -> DataFrame:
+    """The passages at `starts`, and those of hot grams cut further, to single windows not in `known`."""
+    def work(batches):
+        for batch in batches:
+            doc, version = (batch[c].to_numpy(zero_copy_only=False) for c in ("doc", "version"))
+            for low, high, data, bounds in _chunks(batch):
+                cut = Cut(data, bounds, window, gram)
+                wanted = np.zeros(len(cut.first) + 1, dtype=bool)
+                for i, starts in enumerate(batch["starts"].slice(low, high - low)):
+                    if starts.is_valid:
+                        wanted[cut.begins[i] + starts.values.to_numpy()] = True
+                use = wanted[cut.at]
+                at, count = cut.at[use], cut.count[use]
+                place = doc[low:high], version[low:high]
+                yield _rows(cut, at, count, cut.key[use], cut.owner[use], cut.texts(at, count), *place)
+                if len(hot):
+                    at, owner, words = _hot_windows(cut, hot)
+                    new = np.array([w not in known for w in words], dtype=bool)
+                    at, owner, words = at[new], owner[new], [w for w, k in zip(words, new) if k]
+                    yield _rows(cut, at, np.ones(len(at), dtype=np.int64), cut.window_keys(at), owner, words, *place)
+
+    return docs.select("text", "doc", "version", "starts").mapInArrow(work, _PASSAGE)
 
 
 def _within(counts: np.ndarray) -> np.ndarray:
@@ -183,10 +277,10 @@ def _within(counts: np.ndarray) -> np.ndarray:
 def earlier_windows(passages: list, docs: np.ndarray, starts: np.ndarray, window: int) -> np.ndarray:
     """Which windows of distinct passages stand earlier in another: a matrix [passage, window].
 
-    Passages are words joined by spaces; docs and starts are where each stands first.
+    Passages are words with white space between; docs and starts are where each stands first.
     """
     ids = {}
-    sequences = [np.array([ids.setdefault(w, len(ids) + 1) for w in p.split(b" ")], dtype=np.int64) for p in passages]
+    sequences = [np.array([ids.setdefault(w, len(ids) + 1) for w in p.split()], dtype=np.int64) for p in passages]
     sizes = np.array([len(s) for s in sequences])
     index = FMIndex(sequences, window)
     # A place of the text as one number: document, then word.
@@ -292,35 +386,37 @@ def _apply(window: int, gram: int, hot: np.ndarray, known: dict):
         return list(zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist()))
 
     def work(batches):
-        cutter = Cutter(window, gram)
         for batch in batches:
-            out, ranges, row = [], batch["ranges"], 0
-            for texts, docs in _chunks(batch, "doc"):
-                split = [t.split() for t in texts]
-                gone = [np.zeros(len(s), dtype=bool) for s in split]
+            out, done = [], 0
+            for low, high, data, bounds in _chunks(batch):
+                raw, gone = data.tobytes(), {}
                 if known:
-                    owner, start, count, key, words, begins = cutter.passages(texts)
-                    for i in np.flatnonzero(np.isin(key, hot)).tolist():
-                        o = int(owner[i])
-                        for a in range(int(start[i]), int(start[i] + count[i])):
-                            place = known.get(b" ".join(split[o][a:a + window]))
-                            if place and place != (int(docs[o]), a):
-                                gone[o][a:a + window] = True
-                for words, flags in zip(split, gone):
-                    for r in ranges[row].as_py() or ():
-                        flags[r["low"]:r["high"]] = True
+                    cut = Cut(data, bounds, window, gram)
+                    for a, i, words in zip(*_hot_windows(cut, hot)):
+                        place, start = known.get(words), int(a - cut.begins[i])
+                        if place and place != (int(doc_of(batch, low + int(i))), start):
+                            gone.setdefault(int(i), []).append((start, start + window))
+                for i, ranges in enumerate(batch["ranges"].slice(low, high - low)):
+                    words = raw[bounds[i]:bounds[i + 1]].split()
+                    cuts = gone.get(i, []) + [(r["low"], r["high"]) for r in ranges.as_py() or ()]
+                    if not cuts:
+                        out.append((len(words), 0, b" ".join(words).decode(), []))
+                        continue
+                    flags = np.zeros(len(words), dtype=bool)
+                    for a, b in cuts:
+                        flags[a:b] = True
                     kept = b" ".join([w for w, g in zip(words, flags.tolist()) if not g])
                     out.append((len(words), int(flags.sum()), kept.decode(), spans(flags)))
-                    row += 1
-                    if row % 256 == 0:
-                        yield _results(batch, row - len(out), out)
-                        out = []
-            if out:
-                yield _results(batch, row - len(out), out)
+                yield _results(batch, done, out)
+                out, done = [], high
 
     return work
 
 
+def doc_of(batch, row):
+    return batch["doc"][row].as_py()
+
+
 def _results(batch, low, out):
     n_words, n_removed, kept, spans = zip(*out)
     kind = pa.list_(pa.struct([("low", pa.int32()), ("high", pa.int32())]))
@@ -359,18 +455,25 @@ def remove_repeats(
     total = max([r["n"] for r in rows if r["key"] is None], default=0)
     bound = max(hot_least, total // HOT_SHARE)
     hot = np.array([r["key"] for r in rows if r["key"] is not None and r["n"] > bound], dtype=np.int64).view(np.uint64)
-    known = {}
-    if len(hot):
-        first = _passages(keyed, window, gram, hot, {}, True).groupBy("words").agg(
-            F.count("*").alias("n"), F.min(F.struct("doc", "start")).alias("place")
-        ).where(F.col("n") > bound * (window - gram + 1)).collect()  # a passage has no more windows
-        known = {bytes(r["words"]): (r["place"]["doc"], r["place"]["start"]) for r in first}
+    known = _first_places(keyed, window, gram, hot, bound) if len(hot) else {}
     tasks = max(partitions(spark), total // per_task + 1)
-    found = (
-        _passages(keyed, window, gram, hot, known, False)
+
+    # Only where passages start is shuffled at first; text follows for those that share their gram.
+    shared = stage(
+        _places(keyed, window, gram, hot).repartition(tasks, "key").sortWithinPartitions("key")
+        .mapInArrow(_shared, T.StructType(_PLACE.fields[1:])),
+        "shared",
+    )
+    forget_shuffles(spark)
+    starts = shared.groupBy("doc", "version").agg(F.collect_set("start").alias("starts"))
+    found = stage(
+        _passages(keyed.join(starts, ["doc", "version"], "left"), window, gram, hot, known)
         .repartition(tasks, "key").sortWithinPartitions("key", "words", "doc", "start")
-        .mapInArrow(_search(window), _RANGE)
+        .mapInArrow(_search(window), _RANGE),
+        "ranges",
     )
+    release(shared)
+    forget_shuffles(spark)
     ranges = found.groupBy("doc", "version").agg(F.collect_set(F.struct("low", "high")).alias("ranges"))
     out = T.StructType([
         T.StructField("key", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()),
