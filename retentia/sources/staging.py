@@ -64,7 +64,9 @@ def forget_shuffles(spark: SparkSession) -> None:
 
     It does so when their frames are garbage on the driver, whose large heap may not be
     collected for long; between the phases of a large job that would keep the files
-    of all phases on the executors' disks.
+    of all phases on the executors' disks.  Spark holds on to the last job it ran, hence
+    the small one.
     """
+    spark.range(1).collect()
     gc.collect()
     spark.sparkContext._jvm.System.gc()
