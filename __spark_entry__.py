@@ -318,7 +318,7 @@ def attributions_add_up(spark, sf):
     explain.write_attributions(
         explain.attribution(model, rows, FEATURES.names), FEATURES.names, folder
     )
-    base = explain.base_value(explain.leaves(*explain.tree_nodes(spark, model)))
+    _, base = explain.explainer(spark, model)
     total = spark.read.parquet(folder).groupBy("customerID").agg(
         F.count("*").alias("features"), F.sum("phi").alias("phi")
     )

@@ -2,12 +2,14 @@ import itertools
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from conftest import customer, rows
 from retentia import schema as S
+from retentia.functions import shapley
 from retentia.operators.split import stratified_split
 from retentia.plans import evaluate, explain, features, score, train
 from retentia.plans.features import FeatureSet
@@ -184,6 +186,56 @@ def test_attributions_equal_brute_force_shapley(spark, fitted):
         assert phi[id] == pytest.approx(want, abs=1e-9)
 
 
+def grown(rng, depth, width, at=0, nodes=None):
+    """A random tree in the form of a saved one; thresholds fall on values that rows have."""
+    nodes = {} if nodes is None else nodes
+    leaf = depth == 0 or rng.random() < 0.1
+    node = nodes[at] = {"id": at, "prediction": rng.uniform(-1, 1), "rawCount": 0, "leftChild": -1, "rightChild": -1}
+    if leaf:
+        node["rawCount"] = rng.randrange(1, 50)
+        return nodes
+    node["split"] = {"featureIndex": rng.randrange(width), "numCategories": -1,
+                     "leftCategoriesOrThreshold": [rng.randrange(-3, 4)]}
+    node["leftChild"] = len(nodes)
+    grown(rng, depth - 1, width, len(nodes), nodes)
+    node["rightChild"] = len(nodes)
+    grown(rng, depth - 1, width, len(nodes), nodes)
+    node["rawCount"] = nodes[node["leftChild"]]["rawCount"] + nodes[node["rightChild"]]["rawCount"]
+    return nodes
+
+
+@pytest.mark.parametrize("seed,depth", [(0, 1), (1, 3), (2, 5), (3, 8)])
+def test_split_bits_against_all_subsets(seed, depth):
+    """Also trees of more than 64 splits, features met several times on a path, and NaN."""
+    rng, width = random.Random(seed), 4
+    trees, weights = [grown(rng, depth, width) for _ in range(3)], [1.0, 0.5, 0.25]
+    parsed = explain.parsed_trees(trees, weights)
+    assert depth < 8 or max(len(t.splits) for t in parsed) > 64
+    x = np.array([[rng.choice([-3, -1.5, 0, 2, 9, math.nan]) for _ in range(width)] for _ in range(12)])
+    got = shapley.attribute_rows(x, [explain._compiled(t) for t in parsed])
+    for row, phi in zip(x, got):
+        for i in range(width):
+            want = sum(
+                2 * w * (expected(nodes, 0, row, {*subset, i}) - expected(nodes, 0, row, set(subset)))
+                / (width * math.comb(width - 1, size))
+                for nodes, w in zip(trees, weights) for size in range(width)
+                for subset in itertools.combinations([f for f in range(width) if f != i], size)
+            )
+            assert phi[i] == pytest.approx(want, abs=1e-12)
+    base = sum(2 * w * expected(nodes, 0, x[0], set()) for nodes, w in zip(trees, weights))
+    assert explain.base_value(parsed) == pytest.approx(base, abs=1e-12)
+
+
+def test_booster_is_exported_once(spark, fitted, monkeypatch):
+    model, holdout = fitted
+    exports, tree_nodes = [], explain.tree_nodes
+    monkeypatch.setattr(explain, "tree_nodes", lambda *a: exports.append(1) or tree_nodes(*a))
+    monkeypatch.setattr(train.booster_of(model), "explained_in", None, raising=False)
+    first = explain.tree_attribution(model, holdout, FEATURES.names)
+    again = explain.tree_attribution(model, holdout, FEATURES.names)
+    assert sorted(rows(first)) == sorted(rows(again)) and exports == [1]
+
+
 def test_importance(spark, fitted, tmp_path):
     model, holdout = fitted
     found = explain.attribution(model, holdout, FEATURES.names)
