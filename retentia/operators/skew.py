@@ -35,3 +35,28 @@ def join_unique(
     ).drop(count)
     values = [c for c in lookup.columns if c not in (key, count)]
     return salted.join(copies, [key, "_salt"]).select(*facts.columns, *values)
+
+
+def attach_unique(facts: DataFrame, lookup: DataFrame, key: str, parts: int | None = None) -> DataFrame:
+    """Left join of `facts` with `lookup`, which has one row per key, in one shuffle.
+
+    A key with more than 1/1000 of the fact rows is hot.  There are at most 1,000 of
+    them, so their lookup rows are broadcast; their fact rows, like those
+    without a key, are dealt evenly over the tasks of the join, where they meet nothing.  No other key holds more than
+    1/1000 of the rows.  Facts without a match keep null values.
+    """
+    parts = parts or int(facts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    total = facts.agg(F.count("*")).scalar()
+    hot = facts.groupBy(key).count().where(F.col("count") * F.lit(HOT_SHARE) > total).select(key)
+    values = [c for c in lookup.columns if c != key]
+    found = hot.join(lookup, key, "left").select(
+        key, F.lit(True).alias("_hot"), *[F.col(v).alias(f"_hot_{v}") for v in values]
+    )
+    dealt = 1 + F.pmod(F.xxhash64(*facts.columns), F.lit(parts * SALTS_PER_PART).cast("long"))
+    marked = facts.join(F.broadcast(found), key, "left").withColumn(
+        "_deal", F.when(F.coalesce("_hot", F.col(key).isNull()), dealt).otherwise(0)
+    )
+    once = lookup.withColumn("_deal", F.lit(0).cast("long"))
+    return marked.join(once, [key, "_deal"], "left").select(
+        *facts.columns, *[F.coalesce(F.col(f"_hot_{v}"), F.col(v)).alias(v) for v in values]
+    )

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from retentia.functions import shapley
 from retentia.functions.shapley import LeafGroup, Splits, attribute_rows, bits, contribution_tables
 from retentia.operators.sampling import fixed_size_sample
+from retentia.plans.features import places
 from retentia.plans.train import booster_of, feature_vectors
 from retentia.sources.staging import discard, new_folder
 
@@ -154,10 +155,13 @@ def tree_attribution(
     (rounds * 2^depth leaves of depth * 2^depth numbers), are shipped, once per model.
     """
     shared, base = explainer(df.sparkSession, model)
+    # A feature gets what its value and its missing mark contribute.
+    owner = places(model)
+    to_feature = np.eye(max(owner) + 1)[owner]
 
     def explain(batches):
         for batch in batches:
-            phi = attribute_rows(np.stack(batch["features"].to_list()), shared.value) if len(batch) else []
+            phi = attribute_rows(np.stack(batch["features"].to_list()), shared.value) @ to_feature if len(batch) else []
             yield pd.DataFrame({key: batch[key], "base": base, "phi": list(phi)})
 
     vectors = feature_vectors(model, df).select(key, vector_to_array("features").alias("features"))
@@ -173,7 +177,8 @@ def gain_attribution(
     model: PipelineModel, df: DataFrame, names, key: str = "customerID"
 ) -> DataFrame:
     """The cheap stand-in: the model's own importances, the same for every row."""
-    gains = booster_of(model).featureImportances.toArray().tolist()
+    owner = places(model)
+    gains = (booster_of(model).featureImportances.toArray() @ np.eye(max(owner) + 1)[owner]).tolist()
     return df.select(
         key, F.lit(0.0).alias("base"), F.array(*[F.lit(float(g)) for g in gains]).alias("phi")
     )

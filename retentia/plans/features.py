@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, functions as F
 from retentia import schema as S
 
 CODE = "_code"
+MISSING = "_missing"
 
 
 @dataclass(frozen=True)
@@ -76,36 +77,68 @@ def encode(df: DataFrame, encoder: PipelineModel, categories) -> DataFrame:
     )
 
 
-def fit_scaler(df: DataFrame, columns) -> PipelineModel:
+def missing_numbers(df: DataFrame, columns) -> list:
+    """The columns in which `df` holds a null or NaN."""
+    if not columns:
+        return []
+    value = {c: F.col(f"`{c}`").cast("double") for c in columns}
+    found = df.agg(*[F.bool_or(v.isNull() | F.isnan(v)).alias(c) for c, v in value.items()]).first()
+    return [c for c in columns if found[c]]
+
+
+def fit_scaler(df: DataFrame, columns, marked=()) -> PipelineModel:
     """(x - mean) / population deviation of `columns`, as vector `features`.
 
     Spark divides by the sample deviation; the last stage corrects that.  A
     constant column gives 0.  Nulls and NaN take the mean of the fitted rows, so
-    they become 0 and neither fail the fit nor a later batch or stream.
+    they become 0 and neither fail the fit nor a later batch or stream.  Each column
+    in `marked` has a further place at the end, whether its value is missing, by which
+    trees can send missing values to the side that suits the label.
     """
-    numbers = ", ".join(f"CAST(`{c}` AS double) AS `{c}_number`" for c in columns)
+    numbers = [f"CAST(`{c}` AS double) AS `{c}_number`" for c in columns]
+    numbers += [
+        f"CASE WHEN `{c}` IS NULL OR isnan(CAST(`{c}` AS double)) THEN 1.0D ELSE 0.0D END AS `{c}{MISSING}`"
+        for c in marked
+    ]
+    inputs = [f"{c}_filled" for c in columns] + [f"{c}{MISSING}" for c in marked]
     steps = Pipeline(stages=[
-        SQLTransformer(statement=f"SELECT *, {numbers} FROM __THIS__"),
+        SQLTransformer(statement=f"SELECT *, {', '.join(numbers)} FROM __THIS__"),
         Imputer(strategy="mean", inputCols=[f"{c}_number" for c in columns],
                 outputCols=[f"{c}_filled" for c in columns]),
-        VectorAssembler(inputCols=[f"{c}_filled" for c in columns], outputCol="_inputs"),
+        VectorAssembler(inputCols=inputs, outputCol="_inputs"),
         StandardScaler(inputCol="_inputs", outputCol="_scaled", withMean=True, withStd=True),
     ]).fit(df)
     n = df.count()
     factor = math.sqrt(n / (n - 1)) if n > 1 else 1.0
     population = ElementwiseProduct(
         inputCol="_scaled", outputCol="features",
-        scalingVec=Vectors.dense([factor] * len(columns)),
+        scalingVec=Vectors.dense([factor] * len(inputs)),
     )
     return PipelineModel(steps.stages + [population])
 
 
 def fit_features(df: DataFrame, features: FeatureSet) -> PipelineModel:
-    """Encoder and scaler as one fitted pipeline; fit it on training rows only."""
+    """Encoder and scaler as one fitted pipeline; fit it on training rows only.
+
+    Numbers that are missing in some training row get a place of their own for that.
+    """
+    marked = missing_numbers(df, features.numbers)
     stages = []
     if features.categories:
         encoder = fit_encoder(df, features.categories)
         stages += encoder.stages
         df = encoder.transform(df)
     columns = list(features.numbers) + [f"{c}{CODE}" for c in features.categories]
-    return PipelineModel(stages + fit_scaler(df, columns).stages)
+    return PipelineModel(stages + fit_scaler(df, columns, marked).stages)
+
+
+def places(model: PipelineModel) -> list:
+    """For every place of a fitted pipeline's vector, the number of the feature it belongs to.
+
+    A missing mark belongs to the number it marks.
+    """
+    inputs = next(s for s in model.stages if isinstance(s, VectorAssembler)).getInputCols()
+    values = [c.removesuffix("_filled") for c in inputs if c.endswith("_filled")]
+    return [
+        values.index(c.removesuffix("_filled") if c.endswith("_filled") else c.removesuffix(MISSING)) for c in inputs
+    ]

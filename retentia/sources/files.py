@@ -1,11 +1,19 @@
 """Customer CSV in, tables out and back in."""
 
+import json
+import time
+import uuid
+
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from retentia import schema as S
 from retentia.operators.clean import clean_customers
 from retentia.plans.reports import segment_summary
+from retentia.sources.staging import discard, list_names, read_text, swap_text
+
+MANIFEST = "CURRENT.json"
+EMPTY = "_contract_is_empty"
 
 
 def csv_scan(spark: SparkSession, path: str, schema=S.RAW_CUSTOMERS) -> DataFrame:
@@ -42,43 +50,83 @@ def build_tables(
     """Clean, store and read back the four tables.
 
     The segment summary is taken from the stored customers, so the raw records
-    are read once.
+    are read once.  All four take the place of earlier ones at the same moment.
     """
     spark = raw.sparkSession
     tables = {
         "customers": clean_customers(raw), "transactions": transactions,
         "support_tickets": tickets,
     }
-    write_tables(tables, path)
-    stored = read_tables(spark, path, tables, {n: df.schema for n, df in tables.items()})
+    schemas = {n: df.schema for n, df in tables.items()}
+    places = _write_set(tables, path)
+    stored = _read_places(spark, {n: f"{path}/{p}" for n, p in places.items()}, schemas)
     summary = segment_summary(stored["customers"])
-    write_tables({"segment_summary": summary}, path)
-    return stored | read_tables(
-        spark, path, ["segment_summary"], {"segment_summary": summary.schema}
-    )
+    places |= _write_set({"segment_summary": summary}, path)
+    publish(spark, path, places)
+    return read_tables(spark, path, places, schemas | {"segment_summary": summary.schema})
 
 
 def write_tables(tables: dict, path: str) -> None:
-    """Replace the tables under `path` with Parquet laid out for their filters.
+    """Replace the given tables under `path`, all at the same moment.
+
+    They are written to folders of their own first; then a manifest that names the
+    current folder of every table is swapped in.  A reader sees all tables of
+    before or all of after, and one that began before goes on reading its files.  Tables
+    that are not given stay as they are.  Two writers at once need a lock of
+    their own: the last manifest counts.  `expire` deletes folders no longer named.
 
     customers: one directory per Contract, so a filter on it prunes files, and
     ordered by Churn inside, so row groups can be skipped.  The rebalance hint
-    lets adaptive execution split a large Contract over several files.
+    lets adaptive execution split a large Contract over several files.  Directory
+    names have no empty value, so a column in the files marks it.
     Fact tables: range-clustered by customerID, so a customer's rows sit in few
     row groups and per-customer aggregation is nearly done before the shuffle.
     """
+    spark = next(iter(tables.values())).sparkSession
+    publish(spark, path, current_places(spark, path) | _write_set(tables, path))
+
+
+def _write_set(tables: dict, path: str) -> dict:
+    """Write tables to a new folder under `path`; table -> its place below `path`."""
+    version = f"sets/{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
     for name, df in tables.items():
-        target = f"{path}/{name}"
         if name == "customers":
             writer = (
-                df.hint("rebalance", "Contract").sortWithinPartitions("Contract", "Churn")
+                df.withColumn(EMPTY, F.coalesce(F.col("Contract") == "", F.lit(False)))
+                .hint("rebalance", "Contract").sortWithinPartitions("Contract", "Churn")
                 .write.partitionBy("Contract")
             )
         elif name in ("transactions", "support_tickets"):
             writer = _clustered(df).write
         else:
             writer = df.write
-        writer.mode("overwrite").parquet(target)
+        writer.parquet(f"{path}/{version}/{name}")
+    return {name: f"{version}/{name}" for name in tables}
+
+
+def publish(spark: SparkSession, path: str, places: dict) -> None:
+    """Swap in the manifest: one file, replaced by a rename."""
+    swap_text(spark, f"{path}/{MANIFEST}", json.dumps(places, sort_keys=True))
+
+
+def current_places(spark: SparkSession, path: str) -> dict:
+    """table -> its current place below `path`; nothing where no manifest is yet."""
+    text = read_text(spark, f"{path}/{MANIFEST}")
+    return json.loads(text) if text else {}
+
+
+def expire(spark: SparkSession, path: str, keep: int = 1) -> list:
+    """Delete the folders that no table is read from any more, but for the `keep` newest of them.
+
+    Readers may still be using the newest ones.  Returns what was deleted.
+    """
+    used = {place.rsplit("/", 1)[0] for place in current_places(spark, path).values()}
+    old = sorted(f"sets/{name}" for name in list_names(spark, f"{path}/sets"))
+    gone = [v for v in old if v not in used]
+    gone = gone[:len(gone) - keep] if keep else gone
+    for version in gone:
+        discard(spark, f"{path}/{version}")
+    return gone
 
 
 def _clustered(df: DataFrame) -> DataFrame:
@@ -89,31 +137,46 @@ def _clustered(df: DataFrame) -> DataFrame:
 
 
 def write_bucketed(df: DataFrame, table: str, path: str, buckets: int) -> None:
-    """A fact table bucketed by customerID, for repeated joins on it.
+    """A table bucketed by customerID, one file per bucket, for repeated joins on it.
 
-    Only for facts whose customers are of similar size: a bucket is read by one
-    task.  Use `write_tables` where single customers may dominate.
+    Only for tables whose customers are of similar size: a bucket is read by one
+    task.  `lookup.write_lookup` takes care of larger ones.
     """
-    (df.write.mode("overwrite").option("path", path)
+    (df.repartition(buckets, "customerID").write.mode("overwrite").option("path", path)
        .bucketBy(buckets, "customerID").sortBy("customerID").saveAsTable(table))
 
 
 def read_tables(spark: SparkSession, path: str, names=S.TABLES, schemas=None) -> dict:
-    """Stored tables; a known schema saves looking it up in the files.
+    """Stored tables of the current manifest; a known schema saves looking it up in the files.
 
     Without one the columns come from the files, but the contract, which stands in
-    the directory names, is text whatever it looks like.  As directory names have no
-    empty value, an empty contract comes back as null.
+    the directory names, is text whatever it looks like.  Contracts come back as
+    they were, also empty ones.
     """
+    places = current_places(spark, path)
+    return _read_places(spark, {n: f"{path}/{places[n]}" for n in names}, schemas)
+
+
+def _read_places(spark, places, schemas):
     found = {}
-    for name in names:
+    for name, place in places.items():
         schema = (schemas or {}).get(name)
         if schema is None:
-            fields = spark.read.parquet(f"{path}/{name}").schema.fields
+            fields = spark.read.parquet(place).schema.fields
             schema = T.StructType([
-                T.StructField("Contract", T.StringType()) if f.name == "Contract" else f for f in fields
+                T.StructField("Contract", T.StringType()) if f.name == "Contract" else f
+                for f in fields if f.name != EMPTY
             ])
-        found[name] = spark.read.schema(schema).parquet(f"{path}/{name}")
+        if name != "customers":
+            found[name] = spark.read.schema(schema).parquet(place)
+            continue
+        marked = T.StructType([*schema.fields, T.StructField(EMPTY, T.BooleanType())])
+        rows = spark.read.schema(marked).parquet(place)
+        # Both empty and missing contracts stand in the directory without a name.
+        empty = F.expr(f"if({EMPTY}, '', CAST(NULL AS string))").alias("Contract")
+        found[name] = rows.where("Contract IS NOT NULL").select(*schema.names).unionByName(
+            rows.where("Contract IS NULL").select(*[empty if c == "Contract" else c for c in schema.names])
+        )
     return found
 
 

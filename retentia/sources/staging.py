@@ -48,10 +48,42 @@ def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     return staged
 
 
+def _path(spark, name):
+    """A path and the file system it is on, whichever that is."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+    return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def discard(spark: SparkSession, folder: str) -> None:
-    """Delete a folder, wherever it is stored; one that is gone already is no error."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    """Delete a folder; one that is gone already is no error."""
+    path, system = _path(spark, folder)
+    system.delete(path, True)
+
+
+def list_names(spark: SparkSession, folder: str) -> list:
+    """Names in a folder; none where it does not exist."""
+    path, system = _path(spark, folder)
+    return [s.getPath().getName() for s in system.listStatus(path)] if system.exists(path) else []
+
+
+def read_text(spark: SparkSession, name: str) -> str | None:
+    """A small text file, or None where it does not exist."""
+    path, system = _path(spark, name)
+    return spark.read.text(name, wholetext=True).first()[0] if system.exists(path) else None
+
+
+def swap_text(spark: SparkSession, name: str, text: str) -> None:
+    """Write a small text file and put it in the place of `name` by a rename."""
+    jvm = spark.sparkContext._jvm
+    path, system = _path(spark, name)
+    fresh, _ = _path(spark, f"{name}.{uuid.uuid4().hex}")
+    out = system.create(fresh, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(system.getUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    kinds = spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 1)
+    kinds[0] = getattr(jvm.org.apache.hadoop.fs, "Options$Rename").OVERWRITE
+    files.rename(fresh, path, kinds)
 
 
 def release(df: DataFrame) -> None:

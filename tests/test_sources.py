@@ -1,10 +1,12 @@
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
 from conftest import customer, rows
 from retentia import schema as S
 from retentia.plans import catalog, eda, reports
-from retentia.sources import files, staging
+from retentia.sources import files, lookup, results, staging
 from retentia.sources.requests import score_requests
 
 
@@ -36,6 +38,119 @@ def test_contract_filter_prunes_directories(spark, inputs, tmp_path):
     assert "PartitionFilters: [isnotnull(Contract" in plan
 
 
+def test_contracts_survive_as_they_were(spark, make, tmp_path):
+    people = [customer(str(i), c, total="1") for i, c in enumerate(["", None, "1", "One year", "a/b=c%", " "])]
+    empty = make.transactions([]), make.tickets([])
+    for schemas in (None, {"customers": files.clean_customers(make.raw(people)).schema}):
+        files.build_tables(make.raw(people), *empty, str(tmp_path))
+        stored = files.read_tables(spark, str(tmp_path), ["customers"], schemas)["customers"]
+        assert sorted(rows(stored.select("customerID", "Contract"))) == [
+            ("0", ""), ("1", None), ("2", "1"), ("3", "One year"), ("4", "a/b=c%"), ("5", " ")]
+        assert rows(stored.where("Contract = ''").select("customerID")) == [("0",)]
+        assert rows(stored.where("Contract IS NULL").select("customerID")) == [("1",)]
+        assert rows(stored.where("Contract IN ('1', 'x')").select("customerID")) == [("2",)]
+
+
+def test_reader_during_a_write_sees_one_set(spark, make, tmp_path, monkeypatch):
+    """Until the manifest is swapped everything is read from the old set, afterwards from the new one."""
+    path, paid, asked = str(tmp_path), make.transactions([]), make.tickets([])
+    files.build_tables(make.raw([customer("old", total="1")]), paid, asked, path)
+    before = files.read_tables(spark, path)
+    seen, publish = [], files.publish
+
+    def watched(*args):
+        seen.append([rows(files.read_tables(spark, path)[n].agg(F.count("*")))[0][0] for n in S.TABLES])
+        publish(*args)
+
+    monkeypatch.setattr(files, "publish", watched)
+    two = make.raw([customer("new1", total="1"), customer("new2", "One year", "No", total="2")])
+    files.build_tables(two, make.transactions([("new1", 1, 1.0, "x", 1)]), asked, path)
+    assert seen == [[1, 0, 0, 1]]
+    # A frame from before goes on reading its own files.
+    assert rows(before["customers"].select("customerID")) == [("old",)]
+    after = files.read_tables(spark, path)
+    assert [after[n].count() for n in S.TABLES] == [2, 1, 0, 2]
+    files.write_tables({"support_tickets": make.tickets([("new1", "Billing", 1, 5)])}, path)
+    assert [files.read_tables(spark, path)[n].count() for n in S.TABLES] == [2, 1, 1, 2]
+
+
+def test_a_failed_write_changes_nothing(spark, inputs, make, tmp_path):
+    files.build_tables(*inputs, str(tmp_path))
+    bad = make.tickets([("a", "Billing", 1, 5)]).withColumn("rating", F.raise_error(F.lit("broken")).cast("int"))
+    with pytest.raises(Exception, match="broken"):
+        files.build_tables(make.raw([customer("z", total="9")]), inputs[1], bad, str(tmp_path))
+    assert sorted(rows(files.read_tables(spark, str(tmp_path))["customers"].select("customerID"))) == [("a",), ("c",)]
+
+
+def test_old_sets_expire(spark, inputs, tmp_path):
+    path = str(tmp_path)
+    for _ in range(3):
+        files.build_tables(*inputs, path)
+    assert len(files.expire(spark, path, keep=1)) == 3  # two sets each, one of the old six is kept
+    assert len(files.expire(spark, path, keep=0)) == 1 and files.expire(spark, path, keep=0) == []
+    assert files.read_tables(spark, path)["customers"].count() == 2
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_lookup_joins_without_moving_rows(spark, make, tmp_path):
+    people = make.customers([customer(f"c{i}", "One year" if i % 2 else "Two year") for i in range(40)])
+    many = [(f"c{i % 20}", 1, 1.0, "x", 1) for i in range(60)] + [("c3", 2, 2.0, "x", 0)] * 100 + [(None, 1, 5.0, "x", 1)]
+    facts = make.transactions(many)
+    kept = lookup.write_lookup(people, facts, str(tmp_path / "l"), 4)
+    counts = F.count("*").alias("n"), F.sum("amount").alias("paid")
+    want = people.select("customerID", "Contract").join(facts.groupBy("customerID").agg(*counts), "customerID")
+    got = kept.per_customer(["Contract"], *counts)
+    assert sorted(rows(got)) == sorted(rows(want))
+    assert {r[0] for r in rows(kept.large_facts.select("customerID"))} == {"c3"}
+    usual = kept.customers.join(kept.facts.groupBy("customerID").agg(*counts).hint("merge"), "customerID")
+    usual.count()
+    assert "Exchange" not in plan_of(usual) and "SortMergeJoin" in plan_of(usual)
+    kept.drop()
+    assert not (tmp_path / "l").exists() and not spark.catalog.tableExists(f"{kept.name}_facts")
+
+
+def test_results_live_as_long_as_they_are_held(spark, tmp_path):
+    source, built = str(tmp_path / "in"), []
+    spark.range(3).write.parquet(source)
+    cache = results.ResultCache(spark)
+
+    def build(folder):
+        built.append(folder)
+        spark.read.parquet(source).selectExpr("id * 2 AS id").write.parquet(folder)
+        return spark.read.parquet(folder)
+
+    with cache.get("double", [source], build) as first, cache.get("double", [source], build) as second:
+        assert first.folder == second.folder and len(built) == 1
+        spark.range(10, 12).write.mode("append").parquet(source)
+        with cache.get("double", [source], build) as third:
+            assert len(built) == 2 and third.value.count() == 5
+            assert first.value.count() == 3  # still there for those who hold it
+        first.release()
+        first.release()
+        assert os.path.exists(first.folder)
+    assert not os.path.exists(built[0]) and os.path.exists(built[1])
+    assert cache.folders() == [built[1]]
+    cache.drop("double")
+    assert not os.path.exists(built[1]) and cache.folders() == []
+
+
+def test_a_failed_result_leaves_no_folder(spark, tmp_path):
+    spark.range(1).write.parquet(str(tmp_path / "in"))
+    cache, made = results.ResultCache(spark), []
+
+    def build(folder):
+        made.append(folder)
+        spark.range(1).write.parquet(folder)
+        raise RuntimeError("no")
+
+    with pytest.raises(RuntimeError, match="no"):
+        cache.get("x", [str(tmp_path / "in")], build)
+    assert not os.path.exists(made[0]) and cache.folders() == []
+
+
 def test_bucketed_facts_join_without_shuffle(spark, make, tmp_path):
     facts = make.transactions([(str(i % 5), 1, 1.0, "x", 1) for i in range(20)])
     for name in ("one", "two"):
