@@ -483,4 +483,39 @@ ORDER BY md5('42:' || transaction_id), transaction_id LIMIT 1500"""),
         "MonthlyCharges > 80", "MonthlyCharges / 100 > 80"),
     "stored_customers": ORACLES["customers"],
     "stored_transactions": ORACLES["transactions"],
+    "missing_marks_learn": f"""WITH {_SPLIT}
+SELECT count(*) AS n_test, count(*) FILTER (Churn = 1 AND customerID % 10 <> 0) AS n_missing,
+       true AS above_floor
+FROM split WHERE is_test = 1""",
+    "stream_accepted": f"""WITH {_TRAINING}
+SELECT customerID, CAST(1 AS BIGINT) AS n, true AS same FROM base
+WHERE n_orders <> 1 AND customerID % 7 <> 0""",
+    "stream_rejected": f"""WITH {_TRAINING}
+SELECT customerID, CASE WHEN n_orders = 1 THEN 'n/a' ELSE CAST(tenure AS VARCHAR) END AS tenure,
+       concat_ws(', ', CASE WHEN n_orders = 1 THEN 'tenure' END,
+                 CASE WHEN customerID % 7 = 0 THEN 'recency' END) AS unreadable
+FROM base WHERE n_orders = 1 OR customerID % 7 = 0""",
+    "label_table": _on_tables("""
+SELECT class, row_number() OVER (ORDER BY class) - 1 AS code
+FROM (SELECT DISTINCT CAST(customerID AS VARCHAR) AS class FROM tx)"""),
+    "label_encode_table": _on_tables("""
+SELECT transaction_id, coalesce(code, 0) AS customerID
+FROM tx LEFT JOIN (
+  SELECT seen, row_number() OVER (ORDER BY CAST(seen AS VARCHAR)) - 1 AS code
+  FROM (SELECT DISTINCT customerID AS seen FROM tx WHERE paid_on_time = 1)
+) ON customerID = seen"""),
+    "lookup_payments": _on_tables("""
+SELECT c.customerID, c.Contract, count(*) AS payments,
+       CAST(sum(CAST(amount AS DECIMAL(18,2))) AS DOUBLE) AS paid
+FROM cust c JOIN tx t ON c.customerID = t.customerID GROUP BY c.customerID, c.Contract"""),
+    "contract_lookup": _on_customers("""
+SELECT customerID, Contract, tenure, Churn FROM cust WHERE Contract IN ('BUILDING', 'MACHINERY')"""),
+    "segment_batches": _on_tables("SELECT * FROM seg"),
+    "distinct_by_sketch": _on_tables("""
+SELECT month_num, count(DISTINCT customerID) AS "exact", true AS within_bound FROM tx GROUP BY month_num
+UNION ALL SELECT NULL, count(DISTINCT customerID), true FROM tx"""),
+    "adhoc_refused": _on_customers(f"""
+SELECT * FROM (VALUES ('file', true, NULL::BIGINT), ('brackets', true, NULL), ('two', true, NULL),
+                      ('subquery', true, NULL), ('command', true, NULL)) v("text", refused, n)
+UNION ALL SELECT 'answered', false, {N} FROM cust"""),
 }

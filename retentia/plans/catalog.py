@@ -6,6 +6,7 @@ from dataclasses import dataclass
 from pyspark.errors import AnalysisException, ParseException
 from pyspark.sql import DataFrame, SparkSession
 
+from retentia import schema as S
 from retentia.plans import reports
 
 
@@ -58,16 +59,69 @@ def run_named(name: str, tables: dict) -> DataFrame:
     return NAMED[name].run(tables)
 
 
-def adhoc_sql(spark: SparkSession, text: str) -> DataFrame:
-    """Run one query over the registered views.
+class Refused(Exception):
+    """Free SQL that asks for something else than the given tables."""
 
-    The text is read as a subquery, so only something that returns rows is
-    accepted: statements that change tables or settings do not parse there.
-    Text that does not parse or names unknown things gives one row with the
-    message in `error`; errors in the data surface when the result is used.
+
+# Functions that call classes by name, and so lead out of SQL.
+_LEAVING = ("java_method", "reflect", "try_reflect")
+# Sources without rows of their own, or with rows that stand in the text.
+_PLAIN = ("OneRowRelation", "LocalRelation", "CTERelationRef")
+
+
+def _in_session(spark: SparkSession, df: DataFrame) -> DataFrame:
+    """The same frame, run by another session of the application."""
+    rows = spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(
+        spark._jsparkSession, df._jdf.queryExecution().analyzed()
+    )
+    return DataFrame(rows, spark)
+
+
+def _strangers(plan, known: set) -> list:
+    """Sources of an analysed plan, its subqueries included, that are none of the known views."""
+    kind = plan.nodeName()
+    if kind == "View":
+        name = plan.desc().identifier().table()
+        return [] if plan.isTempView() and name in known else [name]
+    below = [q.apply(i) for q in (plan.children(), plan.subqueries()) for i in range(q.size())]
+    if plan.children().isEmpty() and kind not in _PLAIN:
+        return [kind]
+    return [name for part in below for name in _strangers(part, known)]
+
+
+def _session_of_views(spark: SparkSession, tables: dict) -> SparkSession:
+    """A session that knows the given tables and can read nothing by path."""
+    apart = spark.newSession()
+    apart.conf.set("spark.sql.runSQLOnFiles", "false")
+    jvm, state = apart._jvm, apart._jsparkSession.sessionState()
+    for name in _LEAVING:
+        state.functionRegistry().dropFunction(jvm.org.apache.spark.sql.catalyst.FunctionIdentifier(name))
+    for name, df in tables.items():
+        _in_session(apart, df).createOrReplaceTempView(name)
+    return apart
+
+
+def adhoc_sql(spark: SparkSession, text: str, tables: dict | None = None) -> DataFrame:
+    """Run one query over `tables`, by default the session's views of the four tables.
+
+    The query is analysed in a session of its own, where the views are all there is: no
+    file by its path, and no function that calls classes by name.  Tables of the shared
+    catalog and generated rows are found in the analysed plan and refused.  The text must be
+    one query by itself, so statements that change tables or settings, and text that
+    only becomes a query in brackets, are refused too.  Whatever is refused, does not
+    parse or names unknown things gives one row with the message in `error`; errors
+    in the data surface when the result is used.
     """
+    if tables is None:
+        tables = {name: spark.table(name) for name in S.TABLES if spark.catalog.tableExists(name)}
+    apart = _session_of_views(spark, tables)
     query = text.strip().rstrip(";")
     try:
-        return spark.sql(f"SELECT * FROM (\n{query}\n)")
-    except (ParseException, AnalysisException) as problem:
+        apart._jsparkSession.sessionState().sqlParser().parsePlan(query)  # one statement by itself
+        found = apart.sql(f"SELECT * FROM (\n{query}\n)")  # one that returns rows
+        strangers = _strangers(found._jdf.queryExecution().analyzed(), set(tables))
+        if strangers:
+            raise Refused(f"[NOT_A_GIVEN_TABLE] {', '.join(sorted(set(strangers)))}: only {', '.join(sorted(tables))} can be read")
+        return _in_session(spark, found)
+    except (ParseException, AnalysisException, Refused) as problem:
         return spark.createDataFrame([(str(problem),)], "error string")

@@ -1,13 +1,30 @@
 """Scoring requests: records in which any field may be left out."""
 
-import functools
-
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from retentia import schema as S
 from retentia.functions.bands import yes_flag
 
 
+def field_types(defaults: dict = S.REQUEST_DEFAULTS) -> dict:
+    """Types of the features; one that `schema` does not know has that of its default."""
+    kinds = {n: T.DoubleType() if isinstance(d, float) else T.IntegerType() if isinstance(d, int)
+             else T.StringType() for n, d in defaults.items()}
+    return kinds | {f.name: f.dataType for f in S.CUSTOMERS.fields}
+
+
+def unreadable_fields(records: DataFrame, defaults: dict = S.REQUEST_DEFAULTS) -> Column:
+    """Names of the features whose given value their type cannot hold, as an array."""
+    types, kinds = dict(records.dtypes), field_types(defaults)
+    names = []
+    for n in (n for n in defaults if n in types):
+        readable = F.col(n).try_cast(kinds[n]).isNotNull()
+        if n == "SeniorCitizen" and types[n] == "string":
+            readable = readable | F.lower(F.trim(n)).isin("yes", "no")
+        names.append(F.when(F.col(n).isNotNull() & ~readable, F.lit(n)))
+    return F.array_compact(F.array(*names)) if names else F.array().cast("array<string>")
+
+
 def score_requests(
     records: DataFrame, total_from_tenure: bool = False, defaults: dict = S.REQUEST_DEFAULTS,
     rejected: str | None = None,
@@ -20,24 +37,17 @@ def score_requests(
 
     A value that its feature's type cannot hold, such as a tenure of 'twelve',
     fails the job.  With `rejected`, the name of a column to add, it only marks
-    its record: true there, and the default in the value's place.  Features that
-    `schema` does not know have the type of their default.
+    its record: true there, and the default in the value's place.
     """
-    kinds = {n: T.DoubleType() if isinstance(d, float) else T.IntegerType() if isinstance(d, int)
-             else T.StringType() for n, d in defaults.items()}
-    kinds |= {f.name: f.dataType for f in S.CUSTOMERS.fields}
+    kinds = field_types(defaults)
     types = dict(records.dtypes)
     if rejected:
         text_flag = types.get("SeniorCitizen") == "string"
         given = [n for n in defaults if n in types and not (text_flag and n == "SeniorCitizen")]
-        read = {n: F.col(n).try_cast(kinds[n]) for n in given}
-        bad = [F.col(n).isNotNull() & read[n].isNull() for n in given]
-        if text_flag:
-            flags = F.lower(F.trim("SeniorCitizen")).isin("yes", "no")
-            bad.append(F.col("SeniorCitizen").isNotNull() & ~flags
-                       & F.col("SeniorCitizen").try_cast("int").isNull())
-        marked = functools.reduce(lambda x, y: x | y, bad, F.lit(False))
-        records = records.select("*", marked.alias(rejected)).withColumns(read)
+        marked = F.size(unreadable_fields(records, defaults)) > 0
+        records = records.select("*", marked.alias(rejected)).withColumns(
+            {n: F.col(n).try_cast(kinds[n]) for n in given}
+        )
         return score_requests(records, total_from_tenure, defaults)
 
     def filled(name):

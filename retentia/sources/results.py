@@ -1,24 +1,27 @@
 """Stored results that are kept while someone holds them and their input stays the same."""
 
+import hashlib
 import threading
 import uuid
 from dataclasses import dataclass, field
 from typing import Any
 
-from pyspark.sql import SparkSession, functions as F
+from pyspark.sql import SparkSession
 
-from retentia.sources.staging import discard, new_folder
+from retentia.sources.staging import discard, file_states, new_folder
 
 
 def fingerprint(spark: SparkSession, paths) -> str:
     """A hash over names, sizes and change times of all files under `paths`.
 
-    The listing is a table of its own, whose `content` is never read.
+    The files are listed on the driver, without a job; of a table with very many files
+    name one that changes with it, such as its manifest.
     """
-    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(list(paths))
-    seen = F.xxhash64("path", "length", F.col("modificationTime").cast("string")).cast("decimal(38,0)")
-    row = listed.agg(F.count("*").alias("n"), F.sum("length").alias("bytes"), F.sum(seen).alias("sum")).first()
-    return f"{row['n']}-{row['bytes']}-{row['sum']}"
+    seen = hashlib.sha256()
+    for path in paths:
+        for entry in sorted(file_states(spark, path)):
+            seen.update(repr(entry).encode())
+    return seen.hexdigest()
 
 
 @dataclass

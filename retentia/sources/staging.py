@@ -66,6 +66,16 @@ def list_names(spark: SparkSession, folder: str) -> list:
     return [s.getPath().getName() for s in system.listStatus(path)] if system.exists(path) else []
 
 
+def file_states(spark: SparkSession, name: str) -> list:
+    """(path, size, change time) of every file under a folder, or of one file."""
+    path, system = _path(spark, name)
+    files, found = system.listFiles(path, True), []
+    while files.hasNext():
+        state = files.next()
+        found.append((state.getPath().toString(), state.getLen(), state.getModificationTime()))
+    return found
+
+
 def read_text(spark: SparkSession, name: str) -> str | None:
     """A small text file, or None where it does not exist."""
     path, system = _path(spark, name)

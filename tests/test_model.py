@@ -13,7 +13,9 @@ from retentia.functions import shapley
 from retentia.operators.split import stratified_split
 from retentia.plans import evaluate, explain, features, score, train
 from retentia.plans.features import FeatureSet
-from retentia.streaming.scoring import record_stream, score_stream
+from retentia.sources.requests import score_requests
+from retentia.streaming import scoring
+from retentia.streaming.scoring import record_stream, score_requests_stream, score_stream
 
 FEATURES = FeatureSet()
 QUICK = train.BoosterSettings(rounds=5, depth=3, rate=0.3)
@@ -291,3 +293,41 @@ def test_stream_scores_each_record_once(spark, fitted, tmp_path):
         score_stream(model, records, out, log).awaitTermination()
     got = sorted(rows(spark.read.parquet(out)))
     assert got == sorted(rows(score.score_customers(model, batch)))
+
+
+def test_rejected_requests_have_their_own_sink(spark, fitted, tmp_path, monkeypatch):
+    """A run that fails between the two sinks and is started again equals the batch."""
+    model, holdout = fitted
+    arrived, out, bad, log = (str(tmp_path / n) for n in ("in", "out", "bad", "log"))
+    text = holdout.drop("is_test").withColumns({
+        "tenure": F.when(F.col("tenure") % 5 == 0, "soon").otherwise(F.col("tenure").cast("string")),
+        "SeniorCitizen": F.when(F.col("tenure") % 3 == 0, "Maybe").otherwise("Yes"),
+    })
+    text.repartition(3).write.parquet(arrived)
+
+    def run():
+        records = record_stream(spark, arrived, text.schema, files=1)
+        score_requests_stream(model, records, out, bad, log).awaitTermination()
+
+    unreadable, calls = scoring.unreadable_fields, []
+
+    def failing(*args):
+        calls.append(1)
+        if len(calls) == 2:
+            raise RuntimeError("lost")
+        return unreadable(*args)
+
+    monkeypatch.setattr(scoring, "unreadable_fields", failing)
+    with pytest.raises(Exception, match="lost"):
+        run()
+    # Batch 1 had begun: what a half-written batch leaves behind must not count twice.
+    text.limit(0).select("customerID").write.parquet(f"{out}/batch=1")
+    run()
+    batch = text.withColumn("unreadable", unreadable(text))
+    want = score.score_customers(model, score_requests(batch.where("size(unreadable) = 0").select(*text.columns), True))
+    columns = want.columns
+    assert sorted(rows(spark.read.parquet(out).select(*columns))) == sorted(rows(want))
+    refused = spark.read.parquet(bad).select("customerID", "tenure", "unreadable")
+    assert sorted(rows(refused)) == sorted(rows(batch.where("size(unreadable) > 0").select("customerID", "tenure", "unreadable")))
+    assert {tuple(r[2]) for r in rows(refused)} == {("tenure",), ("SeniorCitizen",), ("SeniorCitizen", "tenure")}
+    assert len(rows(spark.read.parquet(out).select("batch").distinct())) == 3

@@ -283,6 +283,36 @@ def test_adhoc_sql(spark, inputs):
     assert spark.catalog.tableExists("customers")
 
 
+def test_adhoc_sql_reads_the_given_tables_only(spark, inputs, tmp_path):
+    tables = files.derive_tables(*inputs)
+    spark.range(3).write.parquet(str(tmp_path / "p"))
+    spark.range(2).write.mode("overwrite").option("path", str(tmp_path / "kept")).saveAsTable("kept_elsewhere")
+    spark.range(2).createOrReplaceTempView("other_view")
+    ask = lambda text: catalog.adhoc_sql(spark, text, tables)
+    for bad in (
+        f"SELECT * FROM parquet.`{tmp_path}/p`", "SELECT * FROM text.`/etc/hostname`",
+        f"SELECT (SELECT count(*) FROM parquet.`{tmp_path}/p`) AS n FROM customers",
+        "SELECT * FROM kept_elsewhere", "SELECT * FROM customers WHERE EXISTS (SELECT 1 FROM kept_elsewhere)",
+        "WITH k AS (SELECT * FROM kept_elsewhere) SELECT * FROM customers, k", "SELECT * FROM other_view",
+        "SELECT * FROM customers UNION ALL SELECT * FROM customers WHERE 1 IN (SELECT id FROM kept_elsewhere)",
+        "SELECT 1) UNION ALL (SELECT 2", "SELECT 1; SELECT 2", "SELECT * FROM range(5)",
+        "SELECT java_method('java.lang.Math', 'abs', 1)", "SELECT reflect('java.lang.Math', 'abs', 1)",
+        "CREATE TABLE x AS SELECT 1", "EXPLAIN SELECT 1", "CACHE TABLE customers", "SELECT 1 /*", "TABLE kept_elsewhere",
+    ):
+        answer = ask(bad)
+        assert answer.columns == ["error"] and answer.count() == 1, bad
+    for good, want in (
+        ("SELECT 1 AS x", [(1,)]), ("SELECT count(*) FROM (VALUES (1), (2)) v(x)", [(2,)]), ("TABLE support_tickets", [("a", "Billing", 1, 5)]),
+        ("WITH customers AS (SELECT 7 AS x) SELECT x FROM customers", [(7,)]),
+        ("SELECT customerID, (SELECT max(rating) FROM support_tickets) FROM customers WHERE customerID IN "
+         "(SELECT customerID FROM transactions) ORDER BY 1", [("a", 5), ("c", 5)]),
+        ("SELECT x FROM customers LATERAL VIEW explode(array(1, 2)) AS x WHERE customerID = 'a' ORDER BY x", [(1,), (2,)]),
+    ):
+        assert rows(ask(good)) == want, good
+    assert rows(spark.sql("SELECT java_method('java.lang.Math', 'abs', -1)")) == [("1",)]  # only refused there
+    spark.sql("DROP TABLE kept_elsewhere")
+
+
 def test_derived_reports_match_over_sources(spark):
     from retentia.sources import orders
 
