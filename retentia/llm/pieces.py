@@ -8,6 +8,7 @@ array of symbols; a round finds each run's best pair, merges its occurrences
 from the left, and closes the gaps, until no pair is left.
 """
 
+import heapq
 import re
 
 import numpy as np
@@ -19,6 +20,7 @@ SPACE = "▁"
 NONE = np.iinfo(np.int32).max
 POOL_SYMBOLS = 4_000_000  # a task forgets its encoded runs beyond this
 BATCH_BYTES = 4_000_000  # text per output batch
+LONG_RUN = 512  # symbols; longer runs are merged through buckets of ranks, with the same result
 
 
 class PieceModel:
@@ -101,8 +103,75 @@ class PieceModel:
             flat[at] = self.rare_char.get(int(codes[at]), flat[at])
         return flat, np.repeat(np.arange(len(runs)), [len(r) for r in runs])
 
+    def lookup(self, left, right):
+        """Per pair of symbols: its merged symbol and rank, NONE where it does not merge."""
+        pair = left * self.base + right
+        at = np.minimum(np.searchsorted(self.keys, pair), len(self.keys) - 1)
+        return self.merged[at], np.where(self.keys[at] == pair, self.ranks[at], NONE)
+
+    def merge_long(self, flat, run):
+        """Merge rounds that visit only the pairs they merge, for runs in which few pairs share a rank.
+
+        Symbols are linked to their neighbours; places wait in a bucket per rank.  A round
+        takes the smallest rank of all runs, merges its leftmost occurrences at once and
+        files the pairs this opens.  Symbols that were merged into their left one drop
+        out at the end.
+        """
+        n = len(flat)
+        symbol, alive = flat.copy(), np.ones(n, bool)
+        nxt, prv = np.arange(1, n + 1), np.arange(-1, n - 1)
+        border = np.flatnonzero(run[1:] != run[:-1])
+        nxt[border], nxt[n - 1], prv[border + 1] = -1, -1, -1
+        rank, merged = np.full(n, NONE, np.int64), np.zeros(n, np.int64)
+        buckets, waiting = {}, []
+
+        def file(places):
+            places = places[nxt[places] >= 0]
+            merged[places], rank[places] = self.lookup(symbol[places], symbol[nxt[places]])
+            places = places[rank[places] < NONE]
+            for place, r in zip(places.tolist(), rank[places].tolist()):
+                if r not in buckets:
+                    buckets[r] = []
+                    heapq.heappush(waiting, r)
+                buckets[r].append(place)
+
+        file(np.arange(n))
+        while waiting:
+            r = heapq.heappop(waiting)
+            hit = np.unique(buckets.pop(r))
+            hit = hit[alive[hit] & (rank[hit] == r)]
+            if not len(hit):
+                continue
+            if self.one_by_one[r]:
+                first = np.r_[True, run[hit[1:]] != run[hit[:-1]]]
+                if not first.all():
+                    buckets[r] = hit[~first].tolist()
+                    heapq.heappush(waiting, r)
+                take = hit[first]
+            else:
+                new_row = np.r_[True, nxt[hit[:-1]] != hit[1:]]
+                at = np.arange(len(hit))
+                take = hit[(at - np.maximum.accumulate(np.where(new_row, at, 0))) % 2 == 0]
+            gone = nxt[take]
+            symbol[take], after = merged[take], nxt[gone]
+            alive[gone], rank[gone], rank[take] = False, NONE, NONE
+            nxt[take] = after
+            prv[after[after >= 0]] = take[after >= 0]
+            before = prv[take]
+            rank[before[before >= 0]] = NONE
+            file(np.unique(np.r_[take, before[before >= 0]]))
+        return symbol[alive], run[alive]
+
     def merge(self, flat, run):
         """Merge until no pair remains; returns symbols and runs, in run order."""
+        long_ = np.bincount(run)[run] > LONG_RUN if len(run) else np.zeros(0, bool)
+        if long_.any():
+            parts = [self.merge_long(flat[long_], run[long_])]
+            if not long_.all():
+                parts.append(self.merge(flat[~long_], run[~long_]))
+            flat, run = (np.concatenate(p) for p in zip(*parts))
+            order = np.argsort(run, kind="stable")
+            return flat[order], run[order]
         done = []
         while len(flat) > 1:
             pair = flat[:-1] * self.base + flat[1:]
