@@ -20,6 +20,14 @@ def stage_and_release(df: DataFrame, previous: DataFrame, name: str) -> DataFram
     return staged
 
 
+def free_name(df: DataFrame, base: str) -> str:
+    """`base`, with underscores added until no column of `df` is called so in any case."""
+    taken = {c.lower() for c in df.columns}
+    while base.lower() in taken:
+        base += "_"
+    return base
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -27,7 +27,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from retentia.llm.common import attach, running_sums
+from retentia.llm.common import attach, free_name, running_sums
 from retentia.llm.components import components, star_edges
 from retentia.sources.staging import stage
 
@@ -309,5 +309,6 @@ def jaccard_components(docs: DataFrame, key="doc_id", text="text", similarity: i
 def keep_first(docs: DataFrame, key="doc_id", text="text", similarity: int = SIMILARITY) -> DataFrame:
     """`docs` without all but the smallest key of each component; null keys stay."""
     found = jaccard_components(docs, key, text, similarity)
-    dropped = found.where(F.col("component_id") != F.col(key)).select(F.col(key).alias("_k")).distinct()
-    return docs.join(dropped, F.col(key) == F.col("_k"), "left_anti")
+    gone = free_name(docs, "_gone")
+    dropped = found.where(F.col("component_id") != F.col(key)).select(F.col(key).alias(gone)).distinct()
+    return docs.join(dropped, F.col(key) == F.col(gone), "left_anti")

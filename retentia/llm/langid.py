@@ -3,6 +3,8 @@
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from retentia.llm.common import free_name
+
 SAMPLE_TEXTS = 32  # training texts per language
 SAMPLE_CHARS = 2000  # of each of them
 BLOCK = 4096  # bytes compressed at a time
@@ -85,7 +87,8 @@ def identify(docs: DataFrame, content: dict, text="text", margin: float = MIN_MA
     shared = docs.sparkSession.sparkContext.broadcast(content)
     base = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in names])
     kept = base.columns
-    marked = base.withColumn("_letters", F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)))
+    flag = free_name(base, "_letters")
+    marked = base.withColumn(flag, F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)))
     schema = T.StructType([
         *base.schema.fields,
         *map(T.StructField, names, (T.StringType(), T.DoubleType(), T.BooleanType())),
@@ -94,7 +97,7 @@ def identify(docs: DataFrame, content: dict, text="text", margin: float = MIN_MA
     def run(batches):
         classifier = Classifier(shared.value)
         for batch in batches:
-            letters = batch.column("_letters").to_pylist()
+            letters = batch.column(flag).to_pylist()
             found = [
                 classifier.predict(t.as_py()) if has else (UNKNOWN, 0.0)
                 for t, has in zip(batch.column(text), letters)
