@@ -105,9 +105,11 @@ def hilbert_shards(
             attach(stepped, stage(share_steps(rows, name, bits), "steps"), name), "stepped"
         )
     bounds = rows.agg(F.struct(F.min("_key").alias("low"), F.max("_key").alias("high"))).scalar()
-    wide = (F.col("_b.high") - F.col("_b.low") + 1).cast("double")
+    exact = "decimal(38,0)"  # keys at both ends of the long range are further apart than a long holds
+    low = F.col("_b.low").cast(exact)
+    wide = (F.col("_b.high").cast(exact) - low + 1).cast("double")
     key_step = F.coalesce(
-        F.floor((F.col("_key") - F.col("_b.low")) * F.lit(1 << bits) / wide).cast("int"), F.lit(0)
+        F.floor((F.col("_key").cast(exact) - low).cast("double") * F.lit(1 << bits) / wide).cast("int"), F.lit(0)
     )
     axes = [F.col(f"{n}_step") for n in [*names, "_size"]] + [F.col("_key_step")]
     curved = (
