@@ -51,7 +51,8 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share=SHARE, cap=CAP) -> D
     )
     return weighed.select(
         "_source", "source_index", "source_size",
-        F.least(F.col("most").cast("double"), F.coalesce(first, F.lit(0.0)) * F.col("weight"))
+        # Without a level every source is stopped, as a share above the cap would have it.
+        F.least(F.col("most").cast("double"), F.coalesce(first * F.col("weight"), F.col("most").cast("double")))
         .alias("target"),
     )
 
@@ -109,7 +110,8 @@ def mixed_documents(docs: DataFrame, key="doc_id", text="text", source="source",
     """The rows of `docs`, each as often as `sample_copies` takes it.
 
     Copies are found on narrow rows and joined to the texts once.  Rows that agree
-    in key, source and size are numbered, and each takes the copies of one of them.
+    in key, source and size are numbered by hashes of their text and of the whole row, and each
+    takes the copies of one of them; so reruns agree however the rows are dealt.
     """
     found = sample_copies(docs, key, text, source, **options)
     unit = ["_k", "_s", "_n"]
@@ -120,6 +122,8 @@ def mixed_documents(docs: DataFrame, key="doc_id", text="text", source="source",
     left = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"),
         F.col(key).alias("k"), F.col(source).alias("s"), size.alias("n"),
+        F.xxhash64(text).alias("h"),
+        F.xxhash64(*[F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind]).alias("r"),
     )
     same = (
         F.col("k").eqNullSafe(F.col("_k")) & F.col("s").eqNullSafe(F.col("_s"))
@@ -127,7 +131,7 @@ def mixed_documents(docs: DataFrame, key="doc_id", text="text", source="source",
     )
     joined = left.join(per_unit, same).withColumn(
         "_i", F.when(F.size("_copies") == 1, F.lit(0)).otherwise(F.expr(
-            "cast(row_number() over (partition by k, s, n order by n) as int) - 1"
+            "cast(row_number() over (partition by k, s, n order by h, r) as int) - 1"
         ))
     )
     times = F.sequence(F.lit(1).cast("long"), F.get("_copies", F.col("_i")))
