@@ -6,6 +6,8 @@ they go through its commit protocol to any file system: a row is a frame, and th
 line separator is an empty skippable frame, which decoders pass over.
 """
 
+import base64
+import datetime
 import hashlib
 import re
 import struct
@@ -16,6 +18,8 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from retentia.llm.common import attach
 
 DICTIONARY_MAGIC = 0x184D2A5D  # skippable frame that leads an archive
+FRAME_MAGIC = b"\x28\xb5\x2f\xfd"
+OTHER_KINDS = ("warcinfo", "request", "metadata", "resource", "conversion", "continuation")
 SKIPPABLE = range(0x184D2A50, 0x184D2A60)
 SEPARATOR = struct.pack("<II", 0x184D2A50, 0).decode("latin-1")
 DATE = "2024-01-01T00:00:00Z"
@@ -102,8 +106,36 @@ def _fields(lines: list) -> dict:
     return found
 
 
-def decode_record(raw: bytes) -> dict:
-    """Fields and payload of one record; ValueError if anything does not add up."""
+def _number(fields: dict, name: str) -> int:
+    value = fields.get(name, "")
+    if not re.fullmatch(r"\d+", value, re.ASCII):
+        raise ValueError(f"{name} is not a number: {value!r}")
+    return int(value)
+
+
+def _check_date(value: str) -> None:
+    if not re.fullmatch(r"\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d(\.\d{1,9})?Z", value, re.ASCII):
+        raise ValueError(f"no WARC date: {value!r}")
+    datetime.datetime.fromisoformat(value[:19])  # ValueError for a 31st of April
+
+
+def _check_digest(label: str, payload: bytes) -> None:
+    """A digest in hex or base 32, by an algorithm this Python knows, must be the payload's."""
+    name, colon, value = label.partition(":")
+    name = name.lower().replace("-", "")
+    if not colon or name not in ("md5", "sha1", "sha256", "sha512"):
+        return
+    raw = hashlib.new(name, payload).digest()
+    if value.lower() != raw.hex() and value.upper() != base64.b32encode(raw).decode():
+        raise ValueError("the payload does not have its digest")
+
+
+def decode_record(raw: bytes) -> dict | None:
+    """Fields and payload of a response or revisit record, None for any other known kind.
+
+    ValueError if anything does not add up.  The HTTP header of a response from elsewhere may
+    name no length; then the payload is the rest of the block.
+    """
     head, blank, rest = raw.partition(b"\r\n\r\n")
     version, *lines = head.split(b"\r\n")
     if not blank or not re.fullmatch(rb"WARC/1\.[01]", version):
@@ -112,36 +144,45 @@ def decode_record(raw: bytes) -> dict:
     for name in ("warc-type", "warc-record-id", "warc-date", "content-length"):
         if name not in fields:
             raise ValueError(f"{name} is missing")
-    length = int(fields["content-length"])
+    _check_date(fields["warc-date"])
+    length = _number(fields, "content-length")
     if len(rest) != length + 4 or rest[length:] != b"\r\n\r\n":
         raise ValueError("the block is not as long as its header says")
+    kind = fields["warc-type"]
+    if kind in OTHER_KINDS:
+        return None
+    if kind not in ("response", "revisit"):
+        raise ValueError(f"unknown kind of record: {kind}")
     http, blank, payload = rest[:length].partition(b"\r\n\r\n")
     status, *http_lines = http.split(b"\r\n")
     if not blank or not status.startswith(b"HTTP/"):
         raise ValueError("no HTTP response in the block")
-    size = int(_fields(http_lines)["content-length"])
-    digest = fields.get("warc-payload-digest", "").removeprefix("sha256:")
-    kind = fields["warc-type"]
+    http_fields = _fields(http_lines)
+    label = fields.get("warc-payload-digest", "")
     if kind == "response":
+        size = _number(http_fields, "content-length") if "content-length" in http_fields else len(payload)
         if len(payload) != size:
             raise ValueError("the payload is not as long as its HTTP header says")
-        if digest != hashlib.sha256(payload).hexdigest():
-            raise ValueError("the payload does not have its digest")
-    elif kind != "revisit" or payload or "warc-refers-to" not in fields:
-        raise ValueError(f"not a response or revisit record: {kind}")
+        _check_digest(label, payload)
+        digest = hashlib.sha256(payload).hexdigest()
+    else:
+        size = _number(http_fields, "content-length")
+        if payload or "warc-refers-to" not in fields:
+            raise ValueError("a revisit record has no payload and names the record it refers to")
+        digest = label.removeprefix("sha256:") if re.fullmatch("sha256:[0-9a-f]{64}", label) else None
     return {
         "page_id": _page_id(fields["warc-record-id"]), "url": fields.get("warc-target-uri"),
         "html": payload if kind == "response" else None, "payload_bytes": size,
         "payload_digest": digest, "record_type": kind,
         "refers_to": _page_id(fields["warc-refers-to"]) if kind == "revisit" else None,
+        "record_id": fields["warc-record-id"], "refers_to_id": fields.get("warc-refers-to"),
     }
 
 
 def _page_id(record_id: str):
-    found = re.fullmatch(r"<urn:page:(-?\d+|None)>", record_id)
-    if not found:
-        raise ValueError(f"unknown record id {record_id}")
-    return None if found[1] == "None" else int(found[1])
+    """The page of a record written here; None for ids from elsewhere."""
+    found = re.fullmatch(r"<urn:page:(-?\d+)>", record_id, re.ASCII)
+    return int(found[1]) if found else None
 
 
 # -- archives -----------------------------------------------------------------------
@@ -219,14 +260,22 @@ def records_of(archive: bytes):
     import zstandard
 
     magic, size = struct.unpack_from("<II", archive) if len(archive) >= 8 else (0, 0)
-    if magic != DICTIONARY_MAGIC or len(archive) < 8 + size:
-        raise ValueError("the archive does not begin with a dictionary frame")
-    content = archive[8:8 + size]
-    if content[:4] == b"\x28\xb5\x2f\xfd":  # a dictionary may itself be compressed
-        content = zstandard.ZstdDecompressor().decompress(content)
-    words = zstandard.ZstdCompressionDict(content) if content else None
-    reader = zstandard.ZstdDecompressor(dict_data=words)
-    at = 8 + size
+    at = 0
+    content = b""
+    if magic == DICTIONARY_MAGIC and len(archive) >= 8 + size:
+        at, content = 8 + size, archive[8:8 + size]
+    elif archive[:4] != FRAME_MAGIC:
+        raise ValueError("the archive begins with neither a dictionary frame nor a record")
+    try:
+        if content[:4] == FRAME_MAGIC:  # a dictionary may itself be compressed
+            content = zstandard.ZstdDecompressor().decompress(content)
+        words = zstandard.ZstdCompressionDict(content) if content else None
+        yield from _frames(archive, at, zstandard.ZstdDecompressor(dict_data=words))
+    except zstandard.ZstdError as problem:
+        raise ValueError(f"not a Zstandard frame: {problem}") from problem
+
+
+def _frames(archive, at, reader):
     while at < len(archive):
         if len(archive) < at + 8:
             raise ValueError("the archive is cut off")
@@ -241,24 +290,30 @@ def records_of(archive: bytes):
             fed = archive[at:at + CHUNK]
             parts.append(frame.decompress(fed))
             at += len(fed) - len(frame.unused_data)
-        yield decode_record(b"".join(parts))
+        record = decode_record(b"".join(parts))
+        if record is not None:
+            yield record
 
 
-def read_archives(spark: SparkSession, folder: str) -> DataFrame:
-    """page_id, url, html, payload_bytes, payload_digest, record_type, refers_to per record.
+def read_archives(spark: SparkSession, folder: str, names: str = "part-*") -> DataFrame:
+    """page_id, url, html, payload_bytes, payload_digest, record_type, refers_to, record_id,
+    refers_to_id per response or revisit record.
 
-    Archives are read whole, one at a time, and are bounded in size when written.
-    Bad magic, headers, lengths or digests raise ValueError.  `html` is null for
-    revisits; a folder without archives gives no rows.
+    `names` picks the files; archives from elsewhere are mostly "*.warc.zst".  Those may
+    have no dictionary, other kinds of records, which are passed over, and record ids of
+    their own, which have no page_id.  Archives are read whole, one at a time, and are
+    bounded in size when written.  Bad magic, headers, dates, lengths or digests raise
+    ValueError.  `html` is null for revisits; a folder without archives gives no rows.
     """
     schema = (
         "page_id long, url string, html binary, payload_bytes long, payload_digest string, "
-        "record_type string, refers_to long"
+        "record_type string, refers_to long, record_id string, refers_to_id string"
     )
     types = pa.schema([
         ("page_id", pa.int64()), ("url", pa.string()), ("html", pa.binary()),
         ("payload_bytes", pa.int64()), ("payload_digest", pa.string()),
-        ("record_type", pa.string()), ("refers_to", pa.int64()),
+        ("record_type", pa.string()), ("refers_to", pa.int64()), ("record_id", pa.string()),
+        ("refers_to_id", pa.string()),
     ])
 
     def unpack(batches):
@@ -276,6 +331,6 @@ def read_archives(spark: SparkSession, folder: str) -> DataFrame:
 
     files = (
         spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", "part-*").load(folder).select("content")
+        .option("pathGlobFilter", names).load(folder).select("content")
     )
     return files.mapInArrow(unpack, schema)
