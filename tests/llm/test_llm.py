@@ -158,7 +158,7 @@ def test_scores_of_odd_texts(odd, empty):
     assert lattice.score_texts(empty, MODEL, train).count() == 0
 
 
-# -- 4, 5: licences and codes are compared with SQL in test_queries.py --------------
+# -- 4, 5: licences and codes are compared with SQL in tests/test_contract.py --------------
 
 def test_licences_in_odd_texts(spark, odd, empty):
     assert {r["license"] for r in licenses.scan_licenses(odd).collect()} == {None}
