@@ -8,7 +8,9 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from retentia.plans.features import FeatureSet, fit_features, training_columns
-from retentia.sources.staging import stage, staging_root
+from retentia.sources.staging import release, stage, staging_root
+
+ROWS_PER_TASK = 20_000
 
 
 @dataclass(frozen=True)
@@ -32,7 +34,9 @@ def fit_model(
     them from memory over and over.  Split statistics are combined per task and
     level; rows never leave their task.  Every tenth round is checkpointed, so a
     lost executor costs at most ten rounds of lineage.  `partitions` sets the
-    number of tasks per round, by default as many as the staged files need.
+    number of tasks per round; by default one per 20,000 rows, the session's parallelism
+    at most, or as many as the staged files have splits if those are more.  The staged rows
+    are deleted after the last round.
     """
     staging_root(train.sparkSession)
     columns = training_columns(train, features)
@@ -43,8 +47,13 @@ def fit_model(
         ),
         "matrix",
     )
+    dealt = matrix
+    if partitions is None:
+        cores = train.sparkSession.sparkContext.defaultParallelism
+        partitions = min(cores, matrix.count() // ROWS_PER_TASK)
+        partitions = partitions if partitions > matrix.rdd.getNumPartitions() else None
     if partitions:
-        matrix = matrix.repartition(partitions)
+        dealt = matrix.repartition(partitions)
     booster = GBTClassifier(
         maxIter=settings.rounds, maxDepth=settings.depth, stepSize=settings.rate,
         subsamplingRate=settings.row_sample,
@@ -52,7 +61,9 @@ def fit_model(
         seed=settings.seed, checkpointInterval=10, cacheNodeIds=False,
         maxMemoryInMB=1024,
     )
-    return PipelineModel(prepared.stages + [booster.fit(matrix)])
+    fitted = booster.fit(dealt)
+    release(matrix)
+    return PipelineModel(prepared.stages + [fitted])
 
 
 def booster_of(model: PipelineModel) -> GBTClassificationModel:

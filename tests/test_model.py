@@ -100,6 +100,22 @@ def test_scores_beat_chance_and_repeat(people, fitted):
     assert sorted(rows(train.score_table(again, holdout, FEATURES))) == sorted(rows(table))
 
 
+def test_rounds_are_dealt_over_the_cores_and_leave_nothing(spark, people, fitted, monkeypatch):
+    monkeypatch.setattr(train, "ROWS_PER_TASK", 50)
+    seen, stage = [], train.stage
+
+    def staged(df, name):
+        seen.append(stage(df.coalesce(1), name))
+        return seen[-1]
+
+    monkeypatch.setattr(train, "stage", staged)
+    sets = FeatureSet(numbers=("tenure", "MonthlyCharges"), categories=("Contract",))
+    model = train.fit_model(people, sets, train.BoosterSettings(rounds=2, depth=2))
+    assert train.predict_proba(model, people).count() == 400
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|FileNotFound|does not exist"):
+        spark.read.parquet(seen[0].staged_in).count()
+
+
 def test_prediction_columns(fitted):
     model, holdout = fitted
     scored = score.score_customers(model, holdout, ("customerID", "Contract"))
