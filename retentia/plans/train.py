@@ -30,7 +30,8 @@ def fit_model(
 ) -> PipelineModel:
     """Encoder, scaler and boosted trees fitted on `train`.
 
-    Only label and feature vector are staged for the boosting rounds, which read
+    Key, features and label are staged first, as encoder and scaler read them several
+    times.  Only label and feature vector are staged for the boosting rounds, which read
     them from memory over and over.  Split statistics are combined per task and
     level; rows never leave their task.  Every tenth round is checkpointed, so a
     lost executor costs at most ten rounds of lineage.  `partitions` sets the
@@ -39,7 +40,7 @@ def fit_model(
     are deleted after the last round.
     """
     staging_root(train.sparkSession)
-    columns = training_columns(train, features)
+    columns = stage(training_columns(train, features), "columns")
     prepared = fit_features(columns, features)
     matrix = stage(
         prepared.transform(columns).select(
@@ -61,6 +62,7 @@ def fit_model(
         seed=settings.seed, checkpointInterval=10, cacheNodeIds=False,
         maxMemoryInMB=1024,
     )
+    release(columns)
     fitted = booster.fit(dealt)
     release(matrix)
     return PipelineModel(prepared.stages + [fitted])

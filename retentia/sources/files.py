@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from retentia import schema as S
 from retentia.operators.clean import clean_customers
 from retentia.plans.reports import segment_summary
-from retentia.sources.staging import discard, list_names, read_text, swap_text
+from retentia.sources.staging import discard, list_names, read_text, release, stage, swap_text
 
 MANIFEST = "CURRENT.json"
 EMPTY = "_contract_is_empty"
@@ -97,7 +97,11 @@ def _write_set(tables: dict, path: str) -> dict:
                 .write.partitionBy("Contract")
             )
         elif name in ("transactions", "support_tickets"):
-            writer = _clustered(df).write
+            # Ranges are found on a sample: staged, so that what derives the facts runs once.
+            facts = stage(df, name)
+            _clustered(facts).write.parquet(f"{path}/{version}/{name}")
+            release(facts)
+            continue
         else:
             writer = df.write
         writer.parquet(f"{path}/{version}/{name}")
