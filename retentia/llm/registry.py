@@ -42,12 +42,11 @@ def op4_license_scan(spark, sf):
     return found.drop("text")
 
 
-CODE_BITS = 64
-
-
 def op5_hamming_topk(spark, sf):
-    codes = stage(hamming.sign_codes(table(spark, sf, "embeddings"), CODE_BITS), "sign-codes")
-    found = hamming.top_k(codes, codes.where("id % 50 = 0"), CODE_BITS)
+    vectors = table(spark, sf, "embeddings")
+    widths = hamming.segment_widths(hamming.code_length(vectors), vectors.count())
+    codes = stage(hamming.sign_codes(vectors, widths), "sign-codes")
+    found = hamming.top_k(codes, codes.where("id % 50 = 0"), widths)
     return found.withColumnRenamed("id", "vec_id")
 
 
@@ -110,7 +109,7 @@ QUERIES = {
 
 SQL = {
     "op4_license_scan": licenses.oracle_sql(),
-    "op5_hamming_topk": hamming.oracle_sql(CODE_BITS),
+    "op5_hamming_topk": hamming.oracle_sql(),
     "op11_centroid_clusters": centroids.oracle_sql(),
     "op12_passage_dedup": passages.oracle_sql(),
     "op13_ranked_documents": ranked.oracle_sql(),

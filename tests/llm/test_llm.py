@@ -171,15 +171,33 @@ def test_licences_in_odd_texts(spark, odd, empty):
     ]
 
 
-@pytest.mark.parametrize("bits", [20, 48])
-def test_codes_against_all_pairs(spark, bits):
+def test_segments_follow_the_index():
+    assert hamming.segment_widths(64, 50_000) == [16] * 4
+    assert hamming.segment_widths(64, 10_000) == [13, 13, 13, 13, 12]
+    assert hamming.segment_widths(64, 10 ** 9) == [32, 32]
+    for bits in (1, 5, 64, 200):
+        for codes in (0, 1, 300, 10 ** 12):
+            widths = hamming.segment_widths(bits, codes)
+            assert sum(widths) == bits and max(widths) <= hamming.MOST and max(widths) - min(widths) <= 1
+
+
+@pytest.mark.parametrize("width, radius", [(1, 0), (1, 1), (7, 3), (10, 10), (13, 6)])
+def test_masks_are_all_values_with_so_many_bits(spark, width, radius):
+    parts = spark.range(1).select(hamming._masks(width, radius).alias("m")).first()["m"]
+    got = sorted(a | b for p in parts for a in p["low"] for b in p["high"])
+    assert got == [v for v in range(1 << width) if v.bit_count() == radius]
+
+
+# Codes of wide segments, of uneven ones, and of one bit each.
+@pytest.mark.parametrize("bits, widths", [(20, [10, 10]), (48, [16] * 3), (23, [12, 11]), (6, [1] * 6)])
+def test_codes_against_all_pairs(spark, bits, widths):
     rnd = random.Random(bits)
     codes = [rnd.getrandbits(bits) for _ in range(60)]
     rows = [(i, codes[i % 60] ^ (rnd.getrandbits(bits) & rnd.getrandbits(bits) & rnd.getrandbits(bits))) for i in range(150)]
     rows += [(200 + i, rows[0][1]) for i in range(40)]
     vectors = [(i, [1.0 if c >> b & 1 else -1.0 for b in range(bits)]) for i, c in rows] + [(999, None), (None, [1.0])]
-    made = hamming.sign_codes(spark.createDataFrame(vectors, "vec_id long, embedding array<double>"), bits).cache()
-    got = table(hamming.top_k(made, made.where("id % 10 = 0"), bits, 5), "query_id", "rank", "id", "distance")
+    made = hamming.sign_codes(spark.createDataFrame(vectors, "vec_id long, embedding array<double>"), widths).cache()
+    got = table(hamming.top_k(made, made.where("id % 10 = 0"), widths, 5), "query_id", "rank", "id", "distance")
     want = []
     for q, code in rows:
         if q % 10 == 0:
@@ -187,7 +205,7 @@ def test_codes_against_all_pairs(spark, bits):
             want += [(q, n + 1, i, d) for n, (d, i) in enumerate(near)]
     assert got == sorted(want)
     none = made.where("id < 0")
-    assert hamming.top_k(none, none, bits, 5).count() == 0
+    assert hamming.top_k(none, none, widths, 5).count() == 0
 
 
 # -- 6: language --------------------------------------------------------------------
