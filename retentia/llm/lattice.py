@@ -1,14 +1,13 @@
 """Language-model scores from the subword lattice.
 
-The probability of a word is the sum, over all ways to cut it into vocabulary
-pieces, of the product of the pieces' probabilities: a forward recursion in log
-space.  Pieces are those of a public vocabulary, all single bytes, and every
-training word as a whole.  Whole words have their unigram probability; the
-other pieces start from the vocabulary's own order and are re-estimated from
-their expected counts in the distinct training words.  Cuts into smaller pieces share
-the probability of words not met in training, estimated from those met once.
-A text is its words, each with a leading space, and an end symbol; the
-probabilities of all texts together do not exceed 1.
+The probability of a word is the sum, over all ways to cut it into pieces, of the
+product of the pieces' probabilities: a forward recursion in log space.  Pieces are
+those of a public vocabulary, all single bytes, and frequent training words, which take
+part in cuts like any other.  Weights start from the scores the vocabulary stores and
+are re-estimated from the pieces' expected counts in all training words, with the
+stored scores as the prior.  Every word, met in training or not, is scored by its
+cuts.  A text is its words, each with a leading space, and an end symbol; pieces and end
+are one distribution, so the probabilities of all texts together do not exceed 1.
 """
 
 from collections import Counter
@@ -21,15 +20,20 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from retentia.sources.staging import stage
 
 ROUNDS = 2  # re-estimations
-PRIOR = 0.1  # added to each piece's expected count
+PRIOR = 0.1  # count the stored scores stand for, per piece on average
+WORD_SHARE = 10_000  # words with more than 1/WORD_SHARE of all training tokens are pieces ...
+WORD_BYTES = 32  # ... if they are no longer than this, which bounds the trie
 HOT = 500_000  # words with more than 1/HOT of all training tokens: at most HOT of them
 WORD_LIMIT = 1_000_000  # distinct words a task counts before it passes them on
 CELLS = 2_000_000  # positions of words scored at a time
 CHUNK = 100_000  # rows per output batch
 
 
-def vocabulary(model_path: str) -> list:
-    """Byte strings of the pieces that lower-cased text can hold, then all single bytes."""
+def vocabulary(model_path: str) -> dict:
+    """Stored score of each piece that lower-cased text can hold, and of all single bytes.
+
+    Bytes that are no piece of their own stand below the last piece.
+    """
     import sentencepiece
 
     library = sentencepiece.SentencePieceProcessor(model_file=model_path)
@@ -39,16 +43,21 @@ def vocabulary(model_path: str) -> list:
             continue
         raw = library.id_to_piece(i).replace("▁", " ").encode()
         if raw == raw.lower() and b" " not in raw[1:]:
-            found.setdefault(raw)
+            found.setdefault(raw, library.get_score(i))
+    last = min(found.values(), default=0.0) - 1
     for value in range(256):
-        found.setdefault(bytes([value]))
-    return list(found)
+        found.setdefault(bytes([value]), last)
+    return found
 
 
-def initial_scores(pieces: list) -> np.ndarray:
-    """Log probabilities that fall with the place in the vocabulary."""
-    weight = 1.0 / (np.arange(len(pieces)) + 2.0)
-    return np.log(weight / weight.sum())
+def initial_weights(stored) -> np.ndarray:
+    """Probabilities from stored scores.
+
+    A merge vocabulary stores minus the rank of the merge as a score, which is no log
+    probability; a piece of rank r weighs 1 / (r + 2), as words do by rank.
+    """
+    weight = 1.0 / (2.0 - np.asarray(stored, float))
+    return weight / weight.sum()
 
 
 class Lattice:
@@ -176,15 +185,24 @@ def word_counts(rows: DataFrame) -> DataFrame:
     )
 
 
-def piece_scores(spark: SparkSession, counts: DataFrame, pieces: list, texts: int,
+def frequent_words(counts: DataFrame, tokens: int) -> dict:
+    """Share of all tokens of each word, of WORD_BYTES at most, above 1/WORD_SHARE of them."""
+    found = counts.where(
+        (F.col("c") * F.lit(WORD_SHARE) > F.lit(tokens)) & (F.octet_length("word") <= WORD_BYTES)
+    ).toPandas()  # at most WORD_SHARE rows
+    return dict(sorted((b" " + bytes(w), c / tokens) for w, c in zip(found["word"], found["c"])))
+
+
+def piece_scores(spark: SparkSession, counts: DataFrame, pieces: list, start: np.ndarray, texts: int,
                  rounds: int = ROUNDS) -> np.ndarray:
     """Log probability of each piece, and of the end symbol last.
 
-    Every distinct training word counts once: the pieces stand for words yet unmet.
+    `start` are the pieces' probabilities at first, and what counts are smoothed by.
     """
     shared = spark.sparkContext.broadcast(pieces)
-    scores = initial_scores(pieces)
+    prior = PRIOR * len(pieces) * start
     expected = np.zeros(len(pieces))
+    scores = np.log(start)
     for _ in range(rounds):
         sent = spark.sparkContext.broadcast(scores)
 
@@ -192,8 +210,9 @@ def piece_scores(spark: SparkSession, counts: DataFrame, pieces: list, texts: in
             lattice = Lattice(shared.value, sent.value)
             total = np.zeros(len(shared.value))
             for batch in batches:
-                words = batch.column("word").to_pylist()
-                total += lattice.expected_counts(words, np.ones(len(words)))
+                total += lattice.expected_counts(
+                    batch.column("word").to_pylist(), batch.column("c").to_numpy().astype(float)
+                )
             used = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(used.astype(np.int32)), pa.array(total[used])], names=["piece", "n"]
@@ -205,9 +224,9 @@ def piece_scores(spark: SparkSession, counts: DataFrame, pieces: list, texts: in
         )
         expected = np.zeros(len(pieces))
         expected[found["piece"]] = found["n"]
-        share = expected + PRIOR
+        share = expected + prior
         scores = np.log(share / share.sum())
-    share = np.r_[expected + PRIOR, texts + PRIOR]
+    share = np.r_[expected + prior, texts + PRIOR]
     return np.log(share / share.sum())
 
 
@@ -220,7 +239,7 @@ def score_texts(docs: DataFrame, model_path: str, train, key="doc_id", text="tex
     `train` is a boolean column of `docs`: rows to learn from.  Tokens are words
     and one end per text.  `score` is log10 of the text's probability under the
     lattice; `base_score` that of a smoothed unigram model of whole tokens; both
-    learn from the training rows only.  Words are scored once each.  Frequent
+    learn from the training rows only.  Every word is scored by the sum over its cuts, once.  Frequent
     words, at most HOT, go to the tasks; the others meet their scores by a
     shuffle join on the word and are summed per text.
 
@@ -236,22 +255,22 @@ def score_texts(docs: DataFrame, model_path: str, train, key="doc_id", text="tex
     counts = stage(word_counts(rows), "words")
     texts = rows.where("_train").count()
     sums = counts.agg(
-        F.sum("c").alias("n"), F.count_if(F.col("c") > 0).alias("v"), F.count_if(F.col("c") == 1).alias("once")
+        F.sum("c").alias("n"), F.count_if(F.col("c") > 0).alias("v")
     ).first()
     tokens, kinds = (sums["n"] or 0) + texts, sums["v"] + (1 if texts else 0)
-    pieces = vocabulary(model_path)
-    learned = piece_scores(spark, counts, pieces, texts, rounds if sums["v"] else 0)
-    unmet = (sums["once"] + 1) / (tokens + 2) if tokens else 1.0  # probability of a new word
-    end_score = float(np.log10((1 - unmet) * texts / tokens) if texts else learned[-1] / np.log(10))
+    stored, words = vocabulary(model_path), frequent_words(counts, tokens)
+    start = dict(zip(stored, initial_weights(list(stored.values())) * (1 - sum(words.values()) / 2)))
+    for word, share in words.items():  # half their tokens go to the word whole at first
+        start[word] = start.get(word, 0.0) + share / 2
+    pieces = list(start)
+    learned = piece_scores(spark, counts, pieces, np.array(list(start.values())), texts, rounds if sums["v"] else 0)
+    end_score = float(learned[-1] / np.log(10))
     shared = spark.sparkContext.broadcast((pieces, learned[:-1]))
 
     def weigh(batches):
         lattice = Lattice(*shared.value)
         for batch in batches:
-            cut = lattice.log_probabilities(batch.column("word").to_pylist()) + np.log(unmet)
-            with np.errstate(divide="ignore"):
-                whole_word = np.log((1 - unmet) * batch.column("c").to_numpy() / max(tokens, 1))
-            found = np.logaddexp(cut, whole_word) / np.log(10)
+            found = lattice.log_probabilities(batch.column("word").to_pylist()) / np.log(10)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("word"), batch.column("c"), pa.array(found)], names=["word", "c", "lp"]
             )

@@ -140,6 +140,57 @@ def test_lattice_sums_all_cuts():
     assert sum(n * len(p) for n, p in zip(counts, parts)) == pytest.approx(8)
 
 
+def test_weights_come_from_the_stored_scores_and_the_counts(spark):
+    stored = lattice.vocabulary(MODEL)
+    assert stored[b" t"] == -2 and min(stored.values()) == stored[b"\x00"] and all(bytes([v]) in stored for v in range(256))
+    start = lattice.initial_weights([0.0, -2.0, -8.0])
+    assert np.allclose(start, np.array([.5, .25, .1]) / .85)
+    # Two rounds over three words against sums over every cut.
+    pieces, words = [b" ab", b" ", b"a", b"b", b"ba"], {b"ab": 3, b"aba": 1, b"b": 2}
+    start = np.array([.1, .3, .2, .2, .2])
+
+    def cuts(raw):
+        return [()] if not raw else [
+            (i, *rest) for i, p in enumerate(pieces) if raw.startswith(p) for rest in cuts(raw[len(p):])
+        ]
+
+    weights, prior = start, lattice.PRIOR * len(pieces) * start
+    for _ in range(2):
+        expected = np.zeros(len(pieces))
+        for word, n in words.items():
+            found = cuts(b" " + word)
+            chances = np.array([np.prod(weights[list(c)]) for c in found])
+            for c, share in zip(found, n * chances / chances.sum()):
+                np.add.at(expected, list(c), share)
+        weights = (expected + prior) / (expected + prior).sum()
+    want = np.r_[expected + prior, 4 + lattice.PRIOR]
+    counts = spark.createDataFrame([(bytearray(w), c) for w, c in words.items()], "word binary, c long")
+    got = lattice.piece_scores(spark, counts, pieces, start, 4)
+    assert np.allclose(np.exp(got), want / want.sum())
+    assert lattice.frequent_words(counts, 6) == {b" ab": .5, b" aba": 1 / 6, b" b": 2 / 6}
+
+
+def test_a_text_is_scored_by_its_cuts_whether_met_or_not(spark):
+    """The score of a real word, by brute force over its cuts under the learned weights."""
+    rows = [(i, "the quick brown fox", "en", "a", 1) for i in range(6)] + [(9, "unheardof", "en", "a", 1)]
+    docs = frame(spark, rows)
+    got = {r["doc_id"]: r["score"] for r in lattice.score_texts(docs, MODEL, F.col("doc_id") < 9).collect()}
+    counts = spark.createDataFrame([(bytearray(w.encode()), 6) for w in rows[0][1].split()], "word binary, c long")
+    stored, words = lattice.vocabulary(MODEL), lattice.frequent_words(counts, 30)
+    start = dict(zip(stored, lattice.initial_weights(list(stored.values())) * (1 - sum(words.values()) / 2)))
+    for word, share in words.items():
+        start[word] = start.get(word, 0.0) + share / 2
+    learned = lattice.piece_scores(spark, counts, list(start), np.array(list(start.values())), 6)
+    chance = dict(zip(start, np.exp(learned)))
+
+    def total(raw):
+        return 1.0 if not raw else sum(chance.get(raw[:n], 0.0) * total(raw[n:]) for n in range(1, len(raw) + 1))
+
+    for key, text in ((0, rows[0][1]), (9, "unheardof")):
+        want = sum(math.log10(total(b" " + w)) for w in text.encode().split()) + learned[-1] / math.log(10)
+        assert got[key] == pytest.approx(want)
+
+
 def test_scores_of_odd_texts(odd, empty):
     train = ~langid.held_out("doc_id", folds=5)
     rows = lattice.score_texts(odd, MODEL, train).collect()
