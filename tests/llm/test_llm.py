@@ -88,6 +88,37 @@ def test_vectors_against_all_pairs(spark, tile):
     assert all(r["kept"] == (r["vec_id"] is not None and r["vec_id"] == r["component_id"]) for r in got)
 
 
+def test_dense_and_spread_vectors_in_deep_trees(spark):
+    """Balls whose vectors all link, equal directions, and strays, in small tiles."""
+    rnd = np.random.default_rng(5)
+    base = rnd.normal(size=(8, 16))
+    rows = [base[0] + rnd.normal(scale=.02, size=16) for _ in range(150)]
+    rows += [base[1 + i % 7] + rnd.normal(scale=.3 * (i % 7) / 7, size=16) for i in range(150)]
+    rows += [base[2] * (1 + i / 8) for i in range(60)] + [rnd.normal(size=16) * 1e100 for _ in range(30)]
+    rows = [(7 * i % 1009, [float(x) for x in v]) for i, v in enumerate(rows)] + [(2000 + i, [1.0, i / 40]) for i in range(40)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = covertree.near_duplicates(df, tile=24).collect()
+    assert sorted((r[0], r[1], r[2]) for r in got) == sorted(_link_truth(rows, 0.95))
+    leaves, steps = covertree._leaves(df.selectExpr("vec_id id", "1L weight", "embedding vector", "size(embedding) dim"), 24)
+    assert leaves.groupBy("node").count().agg(F.max("count")).first()[0] <= 24 and len(steps) > 1
+    assert any(pairs.count() for pairs in covertree._walk(leaves, steps, 0.95)[1])
+
+
+def test_part_of_a_tree_keeps_what_is_near():
+    rnd = np.random.default_rng(2)
+    unit = rnd.normal(size=(300, 8))
+    unit[:200] = unit[0] + rnd.normal(scale=.2, size=(200, 8))
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    tree = covertree.Tree(unit)
+    rows = tree.near(unit[0], .3)
+    assert set(np.flatnonzero(np.linalg.norm(unit - unit[0], axis=1) <= .3)) <= set(rows) and len(rows) < 250
+    part, ones = tree.part(rows), np.ones(len(rows), np.int64)
+    for centres, parent, members, radius in part.levels:
+        assert (np.linalg.norm(part.unit - part.unit[centres[members]], axis=1) <= radius[members] + 1e-5).all()
+    count = covertree.dual_traversal(part, part, ones, ones, .95, True)[0]
+    assert (count == (part.unit @ part.unit.T >= .95).sum(1) - 1).all()
+
+
 def test_vectors_of_an_empty_table(spark):
     assert covertree.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
