@@ -6,7 +6,9 @@ import math
 import random
 import zlib
 
+import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -253,6 +255,56 @@ def test_licences_in_odd_texts(spark, odd, empty):
     ]
 
 
+def _licence_texts():
+    mit, apache = licenses.TEMPLATES["MIT"][0], licenses.TEMPLATES["Apache-2.0-header"][0].split()
+    isc = licenses.TEMPLATES["ISC"][0].split()
+    comment = "\n".join(" * " + " ".join(apache[i:i + 9]) for i in range(0, len(apache), 9))
+    prose = " ".join(f"word{i * i % 83} of the" for i in range(200))
+    return {
+        "readme": f"# Tool\n\n{prose}\n\n" + mit.replace(". ", ".\n\n") + f"\n\n{prose}",
+        "comment": f"/*\n{comment}\n */\nint main() {{ return 0; }}\n{prose}",
+        "sentence": f"{prose} and it is released under the MIT License, as all of ours are. {prose}",
+        "changed": " ".join([prose, *isc[:20], "changed", "here", *isc[22:60], "again", *isc[60:], prose]),
+        "half": " ".join([prose, *isc[:len(isc) // 2], prose]),
+        "twice": f"{prose} all rights reserved all rights reserved {prose} all rights are reserved",
+        "prose": prose,
+    }
+
+
+def test_licences_inside_longer_texts(spark):
+    texts = _licence_texts()
+    rows = [(i, t, "en", "a", i) for i, t in enumerate([*texts.values(), None, "", "one"])]
+    found = licenses.scan_licenses(frame(spark, rows))
+    names = dict(zip([*texts, "null", "empty", "one"], [r["licenses"] for r in found.orderBy("doc_id").collect()]))
+    assert names == {
+        "readme": "MIT", "comment": "Apache-2.0-header,Apache-2.0-notice", "sentence": "MIT-notice", "changed": "ISC",
+        "half": "", "twice": "all-rights-reserved", "prose": "", "null": "", "empty": "", "one": "",
+    }
+    with duckdb.connect() as db:
+        documents = pd.DataFrame(rows, columns=["doc_id", "text", "lang", "source", "n_chars"])
+        db.register("documents", documents)
+        wanted = sorted(db.execute(licenses.oracle_sql()).fetchall())
+    assert sorted(tuple(r) for r in found.select("doc_id", "license", "dice", "n_licenses", "licenses").collect()) == wanted
+
+
+def test_licence_windows_against_all_windows():
+    templates = {"a": ["one two three four two three five"], "b": ["two three", "one two three one two"], "c": ["four five six"]}
+    rng = np.random.default_rng(4)
+    for _ in range(300):
+        scanner = licenses.Scanner(templates, float(rng.choice([.5, .8])))
+        found = list(rng.choice(["one", "two", "three", "four", "five", "six", "seven"], rng.integers(0, 25)))
+        wanted = {}
+        for name, texts in templates.items():
+            for own in map(str.split, texts):
+                grams = licenses.bigrams(own)
+                for i in [*range(len(found) - len(own) + 1), None]:
+                    part = licenses.bigrams(found if i is None else found[i:i + len(own)])
+                    dice = 2.0 * len(part & grams) / (len(part) + len(grams))
+                    if dice >= scanner.threshold:
+                        wanted[name] = max(dice, wanted.get(name, 0.0))
+        assert scanner.scan(" ".join(found)) == wanted
+
+
 def test_segments_follow_the_index():
     assert hamming.segment_widths(64, 50_000) == [16] * 4
     assert hamming.segment_widths(64, 10_000) == [13, 13, 13, 13, 12]
