@@ -1,6 +1,6 @@
 """Exact top-k by Hamming distance: incremental multi-index hashing (DataFrame only)."""
 
-from math import ceil, log2
+from math import ceil, comb
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -18,15 +18,46 @@ def code_length(vectors: DataFrame, vector="embedding") -> int:
     return max(1, vectors.agg(F.max(F.size(vector))).first()[0] or 1)
 
 
-def segment_widths(bits: int, codes: int) -> list:
-    """Widths of the segments of an index of `codes` codes: near log2 of their number.
+def _kth_distance(bits: int, codes: int, k: int) -> int:
+    """Distance within which `codes` codes of independent bits are expected to hold `k`."""
+    within = 0
+    for distance in range(bits + 1):
+        within += comb(bits, distance)
+        if codes * within >= k << bits:
+            break
+    return distance
 
-    A segment value then stands for about one code, however large the index.
-    """
-    count = max(ceil(bits / MOST), round(bits / max(4.0, log2(max(codes, 2)))), 1)
+
+def _widths(bits: int, count: int) -> list:
     return [bits // count + (i < bits % count) for i in range(count)]
 
 
+def search_work(bits: int, count: int, codes: int, reach: int) -> float:
+    """Values probed and codes met by a search up to distance `reach` with `count` segments.
+
+    Segment i is probed at radius r if count * r + i is not above `reach`; a probed value
+    of w bits meets codes / 2^w codes if bits are independent, which is the dearest case.
+    """
+    wide = bits % count
+    work = 0.0
+    for width, start, segments in ((bits // count + 1, 0, wide), (bits // count, wide, count - wide)):
+        for radius in range(min(width, reach // count) + 1):
+            probed = min(max(reach - count * radius + 1 - start, 0), segments)
+            work += probed * comb(width, radius) * (1 + codes / 2 ** width)
+    return work
+
+
+def segment_widths(bits: int, codes: int, k: int = K) -> list:
+    """Widths of the segments with which a search for `k` codes among `codes` has the least work.
+
+    Few wide segments mean more values to probe, many narrow ones more codes per value;
+    the number of segments falls as the index grows.
+    """
+    reach = _kth_distance(bits, codes, k + 1)
+    counts = range(max(1, ceil(bits / MOST)), bits + 1)
+    return _widths(bits, min(counts, key=lambda count: search_work(bits, count, codes, reach)))
+
+
 def sign_codes(vectors: DataFrame, widths: list, key="vec_id", vector="embedding") -> DataFrame:
     """(id, code): bit i is 1 if component i is above 0, in segments of the given widths.
 

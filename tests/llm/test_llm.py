@@ -306,13 +306,26 @@ def test_licence_windows_against_all_windows():
 
 
 def test_segments_follow_the_index():
-    assert hamming.segment_widths(64, 50_000) == [16] * 4
-    assert hamming.segment_widths(64, 10_000) == [13, 13, 13, 13, 12]
-    assert hamming.segment_widths(64, 10 ** 9) == [32, 32]
     for bits in (1, 5, 64, 200):
-        for codes in (0, 1, 300, 10 ** 12):
+        for codes in (0, 1, 300, 10_000, 10 ** 12):
             widths = hamming.segment_widths(bits, codes)
             assert sum(widths) == bits and max(widths) <= hamming.MOST and max(widths) - min(widths) <= 1
+    counts = [len(hamming.segment_widths(64, 10 ** n)) for n in range(3, 13)]
+    assert counts == sorted(counts, reverse=True) and counts[-1] == 2
+
+
+def test_work_of_a_search_is_what_it_probes():
+    for bits, codes, reach in ((16, 500, 5), (64, 50_000, 18), (13, 10, 13)):
+        for count in range(1, bits + 1):
+            widths = hamming._widths(bits, count)
+            wanted = sum(
+                math.comb(w, r) * (1 + codes / 2 ** w)
+                for i, w in enumerate(widths) for r in range(w + 1) if count * r + i <= reach
+            )
+            assert hamming.search_work(bits, count, codes, reach) == pytest.approx(wanted)
+    codes = np.random.default_rng(5).integers(0, 2, (2_000, 64))
+    distances = np.sort((codes[:50, None] != codes[None]).sum(2), axis=1)[:, 10]
+    assert abs(np.median(distances) - hamming._kth_distance(64, 2_000, 11)) <= 1
 
 
 @pytest.mark.parametrize("width, radius", [(1, 0), (1, 1), (7, 3), (10, 10), (13, 6)])
