@@ -38,6 +38,7 @@ LEAF = 256  # documents compared without further regions
 TILE_COST = 1 << 25  # bytes of sets that one task holds for one side
 ROW_COST = 1 << 13
 CACHE = 1_000_000
+BATCH_BYTES = 4_000_000  # regions per output batch
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -88,18 +89,18 @@ def _ring_starts(most: int, similarity: int) -> list:
     return starts
 
 
-def regions(shingles: np.ndarray, similarity: int = SIMILARITY) -> list:
+def regions(shingles: np.ndarray, similarity: int = SIMILARITY) -> np.ndarray:
     """Regions of a set, as hashes of (ring, part, projection)."""
     n = len(shingles)
     if not n:
-        return []
+        return np.empty(0, np.int64)
     starts = _ring_starts(n, similarity)
     ring = len(starts) - 2
     out = [_projections(shingles, ring, starts, similarity)]
     # The smallest set this one can link to may lie in the ring below.
     if ring and -(-n * similarity // 100) < starts[ring]:
         out.append(_projections(shingles, ring - 1, starts, similarity))
-    return np.concatenate(out).astype(np.int64).tolist()
+    return np.concatenate(out).astype(np.int64)
 
 
 def _projections(shingles, ring, starts, similarity):
@@ -220,19 +221,29 @@ def family_edges(ids: np.ndarray, texts: list, similarity: int = SIMILARITY):
 
 def _shingled(docs: DataFrame, similarity: int) -> DataFrame:
     """id, n_shingles, digest of the set (null if empty), regions."""
+    def batch(ids, sizes, digests, found):
+        ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
+        flat = np.concatenate([np.empty(0, np.int64), *found])
+        return pa.RecordBatch.from_arrays([
+            ids, pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()),
+            pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)),
+        ], names=["id", "n_shingles", "digest", "regions"])
+
     def run(batches):
         shingler = Shingler()
-        for batch in batches:
-            sizes, digests, found = [], [], []
-            for text in batch.column("text"):
+        for whole in batches:
+            start, held, sizes, digests, found = 0, 0, [], [], []
+            for row, text in enumerate(whole.column("text")):
                 own = shingler.shingles(text.as_py())
                 sizes.append(len(own))
                 digests.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest() if len(own) else None)
                 found.append(regions(own, similarity))
-            yield pa.RecordBatch.from_arrays([
-                batch.column("id"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()),
-                pa.array(found, pa.list_(pa.int64())),
-            ], names=["id", "n_shingles", "digest", "regions"])
+                held += found[-1].nbytes
+                if held >= BATCH_BYTES:
+                    yield batch(whole.column("id").slice(start, row + 1 - start), sizes, digests, found)
+                    start, held, sizes, digests, found = row + 1, 0, [], [], []
+            if found:
+                yield batch(whole.column("id").slice(start), sizes, digests, found)
 
     return docs.mapInArrow(run, "id long, n_shingles long, digest binary, regions array<long>")
 

@@ -396,6 +396,7 @@ def _jaccard_truth(rows):
 def test_jaccard_against_all_pairs(spark, monkeypatch, cost):
     monkeypatch.setattr(jaccard, "TILE_COST", cost)  # small: several tiles in a family
     monkeypatch.setattr(jaccard, "LEAF", 20)  # small: regions join recursively
+    monkeypatch.setattr(jaccard, "BATCH_BYTES", 2_000)  # small: several batches of regions
     rnd = random.Random(cost)
     texts = []
     for size in (4, 9, 12, 30, 60, 120, 200):
@@ -419,7 +420,7 @@ def test_linked_sets_share_a_region():
         b = np.unique(np.r_[a[gone:], rnd.integers(0, 1 << 63, int(rnd.integers(0, 3))).astype(np.uint64)])
         both = len(np.intersect1d(a, b))
         if 100 * both >= 90 * (len(a) + len(b) - both) and not np.array_equal(a, b):
-            assert set(jaccard.regions(a)) & set(jaccard.regions(b))
+            assert set(jaccard.regions(a).tolist()) & set(jaccard.regions(b).tolist())
 
 
 def test_jaccard_of_odd_texts(odd, empty):
