@@ -11,6 +11,7 @@ from retentia.plans.features import FeatureSet, fit_features, training_columns
 from retentia.sources.staging import release, stage, staging_root
 
 ROWS_PER_TASK = 20_000
+MOST_ROWS_PER_TASK = 2_000_000
 
 
 @dataclass(frozen=True)
@@ -35,9 +36,11 @@ def fit_model(
     them from memory over and over.  Split statistics are combined per task and
     level; rows never leave their task.  Every tenth round is checkpointed, so a
     lost executor costs at most ten rounds of lineage.  `partitions` sets the
-    number of tasks per round; by default one per 20,000 rows, the session's parallelism
-    at most, or as many as the staged files have splits if those are more.  The staged rows
-    are deleted after the last round.
+    number of tasks per round; by default one per 20,000 rows, or as many as the staged
+    files have splits if those are more, and the session's parallelism at most: a round
+    runs ten stages of as many tasks, so tasks beyond the cores cost more than they do.
+    Only above 2,000,000 rows per task there are more.  The staged rows are deleted after
+    the last round.
     """
     staging_root(train.sparkSession)
     columns = stage(training_columns(train, features), "columns")
@@ -50,9 +53,10 @@ def fit_model(
     )
     dealt = matrix
     if partitions is None:
-        cores = train.sparkSession.sparkContext.defaultParallelism
-        partitions = min(cores, matrix.count() // ROWS_PER_TASK)
-        partitions = partitions if partitions > matrix.rdd.getNumPartitions() else None
+        rows, splits = matrix.count(), matrix.rdd.getNumPartitions()
+        most = max(train.sparkSession.sparkContext.defaultParallelism, -(-rows // MOST_ROWS_PER_TASK))
+        partitions = min(most, max(splits, rows // ROWS_PER_TASK))
+        partitions = partitions if partitions != splits else None
     if partitions:
         dealt = matrix.repartition(partitions)
     booster = GBTClassifier(

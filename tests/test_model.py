@@ -100,6 +100,36 @@ def test_scores_beat_chance_and_repeat(people, fitted):
     assert sorted(rows(train.score_table(again, holdout, FEATURES))) == sorted(rows(table))
 
 
+def test_rounds_have_no_more_tasks_than_cores(people, monkeypatch):
+    """However many splits the staged files have."""
+    stage, booster, dealt = train.stage, train.GBTClassifier, []
+
+    class Seen(booster):
+        def fit(self, df):
+            dealt.append(df.rdd.getNumPartitions())
+            return super().fit(df)
+
+    def staged(df, name):
+        # One folder per part, as Spark packs small files of one folder into a few splits.
+        parts = [stage(df.where(F.pmod(F.xxhash64(*df.columns[:1]), F.lit(6)) == i), name) for i in range(6)]
+        whole = parts[0]
+        for part in parts[1:]:
+            whole = whole.unionByName(part)
+        whole.staged_in = parts[0].staged_in
+        return whole
+
+    monkeypatch.setattr(train, "stage", staged)
+    monkeypatch.setattr(train, "GBTClassifier", Seen)
+    sets = FeatureSet(numbers=("tenure", "MonthlyCharges"), categories=("Contract",))
+    monkeypatch.setattr(train, "release", lambda df: None)
+    model = train.fit_model(people, sets, train.BoosterSettings(rounds=2, depth=2))
+    assert train.predict_proba(model, people).count() == 400
+    assert dealt == [4]
+    monkeypatch.setattr(train, "MOST_ROWS_PER_TASK", 80)
+    train.fit_model(people, sets, train.BoosterSettings(rounds=2, depth=2))
+    assert dealt == [4, 5]
+
+
 def test_rounds_are_dealt_over_the_cores_and_leave_nothing(spark, people, fitted, monkeypatch):
     monkeypatch.setattr(train, "ROWS_PER_TASK", 50)
     seen, stage = [], train.stage
