@@ -8,6 +8,8 @@ from retentia import schema as S
 from retentia.plans.score import score_customers
 from retentia.sources.requests import score_requests, unreadable_fields
 
+ROWS_PER_TASK = 5_000
+
 
 def record_stream(spark: SparkSession, folder: str, schema: T.StructType, files=None) -> DataFrame:
     """Parquet records as they arrive in `folder`; `files` bounds one batch."""
@@ -46,13 +48,17 @@ def score_requests_stream(
     their types cannot hold.  Both sinks have a folder per micro-batch, named by its
     number and replaced as a whole: a batch that is run again after a failure, between the
     two writes or after both, leaves every record once.  `checkpoint` must be on shared
-    storage.
+    storage.  A batch of few files is dealt out for scoring, one task per 5,000 rows and the
+    session's parallelism at most.
     """
     fields = records.columns
 
     def both(batch: DataFrame, number: int) -> None:
         marked = batch.withColumn("unreadable", unreadable_fields(batch, defaults)).persist()
         good = marked.where(F.size("unreadable") == 0).select(*fields)
+        tasks = min(batch.sparkSession.sparkContext.defaultParallelism, marked.count() // ROWS_PER_TASK)
+        if tasks > marked.rdd.getNumPartitions():
+            good = good.repartition(tasks)
         scored = score_customers(model, score_requests(good, total_from_tenure, defaults), keep)
         scored.write.mode("overwrite").parquet(f"{out}/batch={number}")
         bad = marked.where(F.size("unreadable") > 0)

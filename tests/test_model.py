@@ -343,6 +343,19 @@ def test_stream_scores_each_record_once(spark, fitted, tmp_path):
     assert got == sorted(rows(score.score_customers(model, batch)))
 
 
+def test_a_batch_of_one_file_is_scored_by_all_cores(spark, fitted, tmp_path, monkeypatch):
+    model, holdout = fitted
+    arrived, out, bad, log = (str(tmp_path / n) for n in ("in", "out", "bad", "log"))
+    asked = holdout.drop("is_test")
+    asked.coalesce(1).write.parquet(arrived)
+    monkeypatch.setattr(scoring, "ROWS_PER_TASK", 10, raising=False)
+    score_requests_stream(model, record_stream(spark, arrived, asked.schema, files=1), out, bad, log).awaitTermination()
+    got = spark.read.parquet(out)
+    assert len(got.inputFiles()) == 4
+    want = score.score_customers(model, score_requests(asked, True))
+    assert sorted(rows(got.select(*want.columns))) == sorted(rows(want))
+
+
 def test_rejected_requests_have_their_own_sink(spark, fitted, tmp_path, monkeypatch):
     """A run that fails between the two sinks and is started again equals the batch."""
     model, holdout = fitted
