@@ -114,24 +114,24 @@ def mixed_documents(docs: DataFrame, key="doc_id", text="text", source="source",
     takes the copies of one of them; so reruns agree however the rows are dealt.
     """
     found = sample_copies(docs, key, text, source, **options)
-    unit = ["_k", "_s", "_n"]
-    per_unit = found.groupBy(
-        F.col(key).alias("_k"), F.col(source).alias("_s"), F.col("size").alias("_n")
-    ).agg(F.sort_array(F.collect_list("copies")).alias("_copies"))
     size = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
+
+    def unit(words):
+        return F.struct(F.col(key).alias("k"), F.col(source).alias("s"), words.alias("n"))
+
+    per_unit = found.groupBy(unit(F.col("size")).alias("_unit")).agg(
+        F.sort_array(F.collect_list("copies")).alias("_copies")
+    )
     left = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"),
-        F.col(key).alias("k"), F.col(source).alias("s"), size.alias("n"),
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), unit(size).alias("unit"),
         F.xxhash64(text).alias("h"),
         F.xxhash64(*[F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind]).alias("r"),
     )
-    same = (
-        F.col("k").eqNullSafe(F.col("_k")) & F.col("s").eqNullSafe(F.col("_s"))
-        & (F.col("n") == F.col("_n"))
-    )
-    joined = left.join(per_unit, same).withColumn(
+    # A struct equals another in null fields too, and join and window deal rows by it alike, so
+    # that the texts are shuffled once.
+    joined = left.join(per_unit, F.col("unit") == F.col("_unit")).withColumn(
         "_i", F.when(F.size("_copies") == 1, F.lit(0)).otherwise(F.expr(
-            "cast(row_number() over (partition by k, s, n order by h, r) as int) - 1"
+            "cast(row_number() over (partition by _unit order by h, r) as int) - 1"
         ))
     )
     times = F.sequence(F.lit(1).cast("long"), F.get("_copies", F.col("_i")))

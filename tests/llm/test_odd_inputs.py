@@ -56,6 +56,35 @@ def test_copies_do_not_depend_on_how_rows_are_dealt(spark):
     assert found[0] == found[1] == found[2]
 
 
+def test_mixed_texts_are_shuffled_once(spark):
+    """Where the copies are too many to broadcast; null keys and sources are joined as well."""
+    rows = [(i, f"w{i} x", "en", "abc"[i % 3], i) for i in range(60)] + [
+        (None, "u v", "en", "a", 1), (None, "u w", "en", "a", 1), (7, "u v w", "en", None, 1), (None, None, None, None, 1)
+    ]
+    docs = spark.createDataFrame(rows, DOCS)
+    before = {n: spark.conf.get(n) for n in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        mixed = mixing.mixed_documents(docs)
+        todo, moved = [mixed._jdf.queryExecution().executedPlan()], 0
+        while todo:
+            node = todo.pop()
+            todo += [node.children().apply(i) for i in range(node.children().size())]
+            moved += node.nodeName() == "Exchange" and "_row" in node.output().mkString(",")
+        got = sorted(map(str, mixed.collect()))
+    finally:
+        for n, v in before.items():
+            spark.conf.set(n, v)
+    assert moved == 1
+    found = {(r["doc_id"], r["source"], r["size"]): r["copies"] for r in mixing.sample_copies(docs).where("doc_id IS NOT NULL").collect()}
+    kept = mixing.mixed_documents(docs).collect()
+    assert sorted(map(str, kept)) == got
+    for (key, source, _), copies in found.items():
+        assert sum(r["doc_id"] == key and r["source"] == source for r in kept) == copies
+    assert sum(r["doc_id"] is None for r in kept) == mixing.sample_copies(docs).where("doc_id IS NULL").agg(F.sum("copies")).first()[0]
+
+
 def test_a_share_above_the_cap_takes_the_cap(spark):
     sizes = spark.createDataFrame([("a", 10), ("b", 20), (None, 5)], "_source string, size long")
     got = mixing.source_targets(sizes, share=3.0, cap=2)
