@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from retentia.sources.staging import stage
+from retentia.sources.staging import release, stage
 
 
 def star_edges(left: np.ndarray, right: np.ndarray):
@@ -45,7 +45,7 @@ def components(edges: DataFrame) -> DataFrame:
     longest path.  A step keeps at most as many edges as there were.  Minima are
     combined before the shuffle; joins on a hub with very many edges are left to
     adaptive skew handling, as only its side of the join is large.  Every round is
-    staged.  Null ends and loops are ignored.
+    staged, and the one before deleted; the result can be released too.  Null ends and loops are ignored.
     """
     current = stage(
         edges.where("u != v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(),
@@ -65,14 +65,18 @@ def components(edges: DataFrame) -> DataFrame:
         # Small star: the smaller neighbours of a node move to the smallest of them.
         least = large.groupBy(F.col("v").alias("n")).agg(F.min("u").alias("m"))
         small = large.join(least, large["v"] == least["n"]).select("m", "u", "v")
-        current = stage(
+        last, current = current, stage(
             small.select(F.col("m").alias("u"), F.when(F.col("u") == F.col("m"), F.col("v")).otherwise(F.col("u")).alias("v"))
             .unionByName(small.select(F.col("m").alias("u"), "v")).distinct(),
             "edges",
         )
+        release(last)
+        release(large)
         before, state = state, _state(current)
         if state == before:
             break
-    return current.select(F.col("v").alias("node"), F.col("u").alias("component")).unionByName(
+    out = current.select(F.col("v").alias("node"), F.col("u").alias("component")).unionByName(
         current.select(F.col("u").alias("node"), F.col("u").alias("component")).distinct()
     )
+    out.staged_in = current.staged_in
+    return out

@@ -38,11 +38,11 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{staging_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, name: str = "stage") -> DataFrame:
-    """Write `df` and return a frame that reads it back."""
+def stage(df: DataFrame, name: str = "stage", *by: str) -> DataFrame:
+    """Write `df`, a folder for each value of the columns `by`, and return a frame that reads it back."""
     spark = df.sparkSession
     folder = new_folder(spark, name)
-    df.write.parquet(folder)
+    df.write.partitionBy(*by).parquet(folder)
     staged = spark.read.schema(df.schema).parquet(folder)
     staged.staged_in = folder
     return staged

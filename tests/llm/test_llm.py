@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import math
+import threading
 import random
 import zlib
 
@@ -121,6 +122,73 @@ def test_part_of_a_tree_keeps_what_is_near():
     assert (count == (part.unit @ part.unit.T >= .95).sum(1) - 1).all()
 
 
+def _shuffled_mb(spark):
+    """MB of shuffle files on disk (local mode)."""
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return sum(f.length() for f in (files.apply(i) for i in range(files.size())) if f.getName().startswith("shuffle_")) / 1e6
+
+
+def test_vectors_without_structure_are_not_sent_from_tile_to_tile(spark):
+    """Every pair of tiles may hold links here, and yet what is shuffled stays near the size of the vectors."""
+    rnd = np.random.default_rng(8)
+    vectors = rnd.normal(size=(900, 48)).astype(np.float32)
+    vectors[800:850] = vectors[:50] + rnd.normal(scale=.05, size=(50, 48))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<float>")
+    before, most, over = _shuffled_mb(spark), [0], threading.Event()
+
+    def watch():
+        while not over.wait(.2):
+            most[0] = max(most[0], _shuffled_mb(spark) - before)
+
+    watching = threading.Thread(target=watch)
+    watching.start()
+    try:
+        got = covertree.near_duplicates(df, tile=20).collect()
+    finally:
+        over.set()
+        watching.join()
+    unit = vectors / np.linalg.norm(vectors.astype(float), axis=1, keepdims=True)
+    assert [r["n_links"] for r in sorted(got)] == ((unit @ unit.T >= .95).sum(1) - 1).tolist()
+    assert most[0] < 5 * vectors.nbytes / 1e6
+
+
+def test_tiles_in_several_blocks_and_folded_links(spark, monkeypatch):
+    rnd = np.random.default_rng(9)
+    base = rnd.normal(size=(12, 6))
+    rows = [(i, [float(x) for x in base[i % 12] + rnd.normal(scale=.12 * (i % 3), size=6)]) for i in range(240)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    monkeypatch.setattr(covertree, "BLOCK", 240 * 6 * 8 // 3)
+    folds, whole = [], covertree.Links.add
+    monkeypatch.setattr(covertree.Links, "add", lambda self, found: (whole(self, found), folds.append(len(self.parts))))
+    got = covertree.near_duplicates(df, tile=16).collect()
+    assert sorted((r[0], r[1], r[2]) for r in got) == sorted(_link_truth(rows, 0.95))
+    assert len(folds) > 3 and 1 in folds[1:]
+
+
+def test_few_vectors_of_another_length(spark):
+    """One tile beside many keeps its links."""
+    rnd = np.random.default_rng(4)
+    rows = [(i, [float(x) for x in rnd.normal(size=5)]) for i in range(60)] + [(100 + i, [1.0, i / 40]) for i in range(9)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = covertree.near_duplicates(df, tile=16).collect()
+    assert sorted((r[0], r[1], r[2]) for r in got) == sorted(_link_truth(rows, 0.95))
+
+
+def test_bounds_from_leading_coordinates_drop_no_link():
+    """Vectors whose first coordinates say little, or all share a large one."""
+    rnd = np.random.default_rng(6)
+    for shift, flat in ((0, 0), (4, 0), (0, 30)):
+        unit = rnd.normal(size=(60, 40))[rnd.integers(0, 60, 500)] + rnd.normal(scale=.15, size=(500, 40))
+        unit[:, :flat], unit[:, 0] = 0, unit[:, 0] + shift
+        unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+        weight = rnd.integers(1, 4, 500)
+        linked = unit[:200] @ unit[200:].T >= .95
+        for shape in (None, covertree.shape_of(unit)):
+            a, b = covertree.Tree(unit[:200]), covertree.Tree(unit[200:])
+            count_a, count_b, left, right = covertree.dual_traversal(a, b, weight[:200], weight[200:], .95, False, shape)
+            assert (count_a == linked @ weight[200:]).all() and (count_b == linked.T @ weight[:200]).all()
+
+
 def test_vectors_of_an_empty_table(spark):
     assert covertree.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
